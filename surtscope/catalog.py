@@ -53,8 +53,8 @@ class Archive:
 
     def captures_path(self) -> str:
         def make(path: str) -> None:
-            flat = cdxj.captures(self.raw(), F.col("crawl_year"))
-            store.write(store.enrich(flat, DOMAINS), path)
+            typed = cdxj.typed_records(self.raw(), F.col("crawl_year"))
+            store.write_captures(typed, path, DOMAINS)
 
         return self._once("captures", make)
 
@@ -479,7 +479,9 @@ def _tables() -> dict[str, Query]:
     def structure_report(name: str) -> Query:
         def run(s, f):
             a = Archive(s, f)
-            return structure.url_structure_report(a.captures(), base=a.report_base())[name]
+            return structure.url_structure_report(
+                a.captures(), base=a.report_base(), frames=[name]
+            )[name]
 
         return run
 

@@ -146,7 +146,7 @@ def path_depth(surtkey: Column | str = "surtkey") -> Column:
 
 def surt_prefix(domain: Column | str) -> Column:
     """``doi.gov`` -> ``gov,doi`` on a column of domain names."""
-    return F.array_join(F.reverse(F.split(_col(domain), "[.]")), ",")
+    return F.array_join(F.reverse(F.split(_col(domain), r"\.")), ",")
 
 
 def surt_prefix_of(domain: str) -> str:
@@ -174,20 +174,27 @@ SURT_COLUMNS = (
 DERIVED_COLUMNS = ["reg_domain", "sub_full", "ext", "filename", "pdf_name", "depth"]
 
 
+# Host, path and their pieces are computed in steps, each once per row: Catalyst
+# does not merge a projection into the next one when that would repeat work.
+
+
 def with_url_columns(df: DataFrame, url: str = "url") -> DataFrame:
     base = df.withColumns({"host": host(url), "url_path": url_path(url), "url_query": url_query(url)})
-    return base.withColumns(
-        {f"path_seg_{i}": path_segment("url_path", i) for i in range(1, PATH_DEPTH + 1)}
-    )
+    pieces = base.withColumn("_path", _path_pieces(F.col("url_path")))
+    return pieces.withColumns(
+        {f"path_seg_{i}": F.get("_path", F.lit(i - 1)) for i in range(1, PATH_DEPTH + 1)}
+    ).drop("_path")
 
 
 def with_surt_columns(df: DataFrame, surtkey: str = "surtkey") -> DataFrame:
-    cols = {"surthost": surt_host(surtkey)}
-    for i in range(SURT_HOST_DEPTH):
-        cols[f"surthost_seg_{i}"] = surt_host_segment(surtkey, i)
+    base = df.withColumns({"surthost": surt_host(surtkey), "_path": surt_path(surtkey)})
+    pieces = base.withColumns(
+        {"_labels": _pieces(F.col("surthost"), ","), "_path": _path_pieces(F.col("_path"))}
+    )
+    cols = {f"surthost_seg_{i}": F.get("_labels", F.lit(i)) for i in range(SURT_HOST_DEPTH)}
     for i in range(1, SURT_PATH_DEPTH + 1):
-        cols[f"surtpath_{i}"] = surt_path_segment(surtkey, i)
-    return df.withColumns(cols)
+        cols[f"surtpath_{i}"] = F.get("_path", F.lit(i - 1))
+    return pieces.withColumns(cols).drop("_labels", "_path")
 
 
 def with_derived_columns(df: DataFrame, surtkey: str = "surtkey") -> DataFrame:

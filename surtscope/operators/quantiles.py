@@ -73,13 +73,15 @@ def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float]) -> D
         .where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_upto")))
         .select(*keys, "_block", "name", "side", "pos", (F.col("rank") - F.col("_before")).alias("rank"))
     )
-    wanted_blocks = ranks.select(*keys, "_block").distinct()
-    in_block = Window.partitionBy(*keys, "_block").orderBy("_v")
-    candidates = counts.join(wanted_blocks, [*keys, "_block"], "left_semi").withColumn(
-        "_last", F.sum("_n").over(in_block.rowsBetween(Window.unboundedPreceding, 0))
+    wanted_in = ranks.groupBy(*keys, "_block").agg(
+        F.collect_list(F.struct("name", "side", "pos", "rank")).alias("_ranks")
     )
-    hit = candidates.join(ranks, [*keys, "_block"]).where(
-        (F.col("rank") >= F.col("_last") - F.col("_n")) & (F.col("rank") < F.col("_last"))
+    in_block = Window.partitionBy(*keys, "_block").orderBy("_v")
+    hit = (
+        counts.join(wanted_in, [*keys, "_block"])
+        .withColumn("_last", F.sum("_n").over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
+        .select(*keys, "_v", "_n", "_last", F.inline("_ranks"))
+        .where((F.col("rank") >= F.col("_last") - F.col("_n")) & (F.col("rank") < F.col("_last")))
     )
     aggs = []
     for name in wanted:

@@ -307,43 +307,58 @@ def report_base(captures: DataFrame, within: list[str]) -> DataFrame:
     return roll.compact(ready, [*within, *_REPORT_KEYS]).withColumn("surtkey", F.lit(""))
 
 
+# name -> (reads the compact base or the captures, report)
+_REPORT = {
+    "captures_per_year": ("base", lambda d, y, w, k: roll.count_by(d, [*w, "crawl_year"], "captures")),
+    "host_years": ("captures", lambda d, y, w, k: roll.count_by(d, [*w, "host", "crawl_year"])),
+    "subdomains": ("base", lambda d, y, w, k: subdomain_breakdown(d, y, k, within=w)),
+    "subdomain_years": ("base", lambda d, y, w, k: top_subdomains_by_year(d, within=w)),
+    "extensions": ("base", lambda d, y, w, k: extensions(d, y, k, w)),
+    "filenames": ("captures", lambda d, y, w, k: filenames(d, y, k, w)),
+    "path_heat": ("base", lambda d, y, w, k: path_heat(d, years=y, within=w)),
+    "path_churn": ("base", lambda d, y, w, k: path_churn(d, y, w)),
+    "path_churn_all_periods": ("base", lambda d, y, w, k: path_churn_all_periods(d, y, w)),
+    "extension_totals": ("base", lambda d, y, w, k: extension_totals(d, within=w)),
+    "extension_shift": ("base", lambda d, y, w, k: extension_shift(d, years=y, within=w)),
+    "top_paths": ("base", lambda d, y, w, k: top_paths(d, within=w)),
+    "top_paths_per_year": ("base", lambda d, y, w, k: top_paths_per_year(d, within=w)),
+    "pdf_per_year": ("base", lambda d, y, w, k: pdf_per_year(d, w)),
+    "path_depth": ("base", lambda d, y, w, k: path_depth(d, w)),
+    "clean_urls": ("base", lambda d, y, w, k: clean_urls(d, w)),
+    "pdf_names": ("captures", lambda d, y, w, k: pdf_names(d, y, k, w)),
+    "node_ids": ("base", lambda d, y, w, k: node_ids(d, w)),
+    "mime_by_extension": ("base", lambda d, y, w, k: mime_by_extension(d, w)),
+    **{
+        f"path_prefixes_{depth}": (
+            "base",
+            lambda d, y, w, k, depth=depth: path_prefixes(d, depth, y, k, within=w),
+        )
+        for depth in range(1, SURT_PATH_DEPTH + 1)
+    },
+}
+REPORT_FRAMES = list(_REPORT)
+
+
 def url_structure_report(
     captures: DataFrame,
     years=CRAWL_YEARS,
     within: list[str] | None = None,
     base: DataFrame | None = None,
     limit: int = 30,
+    frames: list[str] | None = None,
 ) -> dict[str, DataFrame]:
-    """All URL-structure frames for every domain at once.
+    """URL-structure frames (all, or the named ones) for every domain at once.
 
     Pass ``base`` when :func:`report_base` was written to a table, so that the
-    frames read that instead of the captures; only host and file-name frames
-    need the captures.
+    frames read that instead of the captures; only the host and file-name
+    frames need the captures.
     """
     within = ["base_domain"] if within is None else within
     if base is None:
         base = report_base(captures, within)
-    frames = {
-        "captures_per_year": roll.count_by(base, [*within, "crawl_year"], "captures"),
-        "host_years": roll.count_by(captures, [*within, "host", "crawl_year"]),
-        "subdomains": subdomain_breakdown(base, years, limit, within=within),
-        "subdomain_years": top_subdomains_by_year(base, within=within),
-        "extensions": extensions(base, years, limit, within),
-        "filenames": filenames(captures, years, limit, within),
-        "path_heat": path_heat(base, years=years, within=within),
-        "path_churn": path_churn(base, years, within),
-        "path_churn_all_periods": path_churn_all_periods(base, years, within),
-        "extension_totals": extension_totals(base, within=within),
-        "extension_shift": extension_shift(base, years=years, within=within),
-        "top_paths": top_paths(base, within=within),
-        "top_paths_per_year": top_paths_per_year(base, within=within),
-        "pdf_per_year": pdf_per_year(base, within),
-        "path_depth": path_depth(base, within),
-        "clean_urls": clean_urls(base, within),
-        "pdf_names": pdf_names(captures, years, limit, within),
-        "node_ids": node_ids(base, within),
-        "mime_by_extension": mime_by_extension(base, within),
-    }
-    for depth in range(1, SURT_PATH_DEPTH + 1):
-        frames[f"path_prefixes_{depth}"] = path_prefixes(base, depth, years, limit, within=within)
-    return frames
+    inputs = {"base": base, "captures": captures}
+    made = {}
+    for name in frames or REPORT_FRAMES:
+        source, report = _REPORT[name]
+        made[name] = report(inputs[source], years, within, limit)
+    return made

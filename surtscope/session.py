@@ -22,12 +22,16 @@ def build_session(app_name: str = "surtscope", cpus: int | None = None) -> Spark
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.parquet.compression.codec", "zstd")
+        # HotSpot leaves methods above 8000 bytecodes uncompiled; wide
+        # projections run about twice as fast when split instead.
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
     )
     if cpus:
         builder = (
             builder.master(f"local[{cpus}]")
             .config("spark.sql.shuffle.partitions", str(cpus))
             .config("spark.ui.enabled", "false")
+            .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "8g")
         )
     return builder.getOrCreate()

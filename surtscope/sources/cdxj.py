@@ -50,6 +50,7 @@ def read_lines(
     paths: str | list[str],
     glob: str = "*.cdxj.gz",
     recursive: bool = False,
+    base_path: str | None = None,
 ) -> DataFrame:
     """``value, file, row`` for every line.
 
@@ -59,6 +60,8 @@ def read_lines(
     reader = spark.read.option("pathGlobFilter", glob)
     if recursive:
         reader = reader.option("recursiveFileLookup", "true")
+    if base_path:
+        reader = reader.option("basePath", base_path)
     return reader.text(paths).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
@@ -194,15 +197,14 @@ def error_type_counts(quarantine: DataFrame) -> DataFrame:
     )
 
 
-def captures(raw: DataFrame, crawl_year: Column | str, domains=None) -> DataFrame:
-    """Raw records to the 34-column captures table, in its fixed column order.
+def typed_records(raw: DataFrame, crawl_year: Column | str, domains=None) -> DataFrame:
+    """Raw records with table names and types, still without derived columns.
 
-    ``domains`` keeps target domains only; the filter runs before the derived
-    columns are computed.
+    ``domains`` keeps the rows of these target domains only.
     """
     year = F.lit(crawl_year) if isinstance(crawl_year, str) else crawl_year
     kept = raw if domains is None else dom.only_targets(raw, domains)
-    typed = kept.select(
+    return kept.select(
         "url",
         "mime",
         F.col("status").cast("int").alias("status"),
@@ -218,8 +220,15 @@ def captures(raw: DataFrame, crawl_year: Column | str, domains=None) -> DataFram
         F.col("timestamp").alias("fetch_timestamp"),
         year.alias("crawl_year"),
     )
-    full = urls.with_surt_columns(urls.with_url_columns(typed))
-    return full.select(*CAPTURE_COLUMNS)
+
+
+def widen(typed: DataFrame) -> DataFrame:
+    """Typed records to the 34-column captures table, in its fixed column order."""
+    return urls.with_surt_columns(urls.with_url_columns(typed)).select(*CAPTURE_COLUMNS)
+
+
+def captures(raw: DataFrame, crawl_year: Column | str, domains=None) -> DataFrame:
+    return widen(typed_records(raw, crawl_year, domains))
 
 
 def dns_lines(lines: DataFrame) -> DataFrame:

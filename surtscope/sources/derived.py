@@ -77,7 +77,7 @@ def raw_captures(events: DataFrame, pages: DataFrame) -> DataFrame:
     path, query = urls.url_path("url"), F.lower(F.regexp_extract("url", r"[?]([^#]*)", 1))
     surt_host = F.concat(
         F.array_join(
-            F.reverse(F.split(F.regexp_replace("host", r"^www[0-9]*[.]", ""), "[.]")), ","
+            F.reverse(F.split(F.regexp_replace("host", r"^www[0-9]*[.]", ""), r"\.")), ","
         ),
         F.when(F.col("has_port"), ":8080").otherwise(""),
     )
@@ -165,7 +165,7 @@ def broken_lines(raw: DataFrame) -> DataFrame:
 
 def index_rows(captures: DataFrame) -> DataFrame:
     """A Parquet-index view of captures: no DNS records and no 2024 crawl."""
-    labels = F.split("host", "[.]")
+    labels = F.split("host", r"\.")
     return captures.where(
         (F.col("crawl_year") != "2024") & ~F.col("mime").eqNullSafe("text/dns")
     ).select(

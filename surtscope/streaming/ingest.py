@@ -63,13 +63,11 @@ def append_unseen(stream: DataFrame, path: str, checkpoint: str, key=None) -> St
     key = key or store.CAPTURE_KEY
 
     def add(batch: DataFrame, _batch_id: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(key)
-        if store.table_exists(spark, path):
-            years = [r[0] for r in batch.select("crawl_year").distinct().collect()]
-            table = store.read(spark, path).where(F.col("crawl_year").isin(*years))
-            fresh = absent_from(fresh, table, key)
-        store.write(fresh, path, "append")
+        years = [r[0] for r in batch.select("crawl_year").distinct().collect()]
+        table = store.read(batch.sparkSession, path).where(F.col("crawl_year").isin(*years))
+        store.write(absent_from(batch.dropDuplicates(key), table, key), path, "append")
+
+    store.ensure_table(stream.sparkSession, path)
 
     query = (
         stream.writeStream.foreachBatch(add)

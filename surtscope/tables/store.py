@@ -10,7 +10,6 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,10 +29,15 @@ def table_schema():
     return cdxj.capture_schema([*urls.DERIVED_COLUMNS, "base_domain"])
 
 
+def domain_label(surtkey: str = "surtkey", domains=TARGET_DOMAINS):
+    return F.coalesce(dom.surt_domain(surtkey, domains), F.lit("other"))
+
+
 def enrich(captures: DataFrame, domains=TARGET_DOMAINS) -> DataFrame:
     """Add what reports would otherwise recompute per row, and the domain label."""
-    label = F.coalesce(dom.surt_domain("surtkey", domains), F.lit("other"))
-    return urls.with_derived_columns(captures).withColumn("base_domain", label)
+    return urls.with_derived_columns(captures).withColumn(
+        "base_domain", domain_label("surtkey", domains)
+    )
 
 
 def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
@@ -51,6 +55,16 @@ def _laid_out(df: DataFrame, partitions: list[str], sort: list[str]) -> DataFram
     return df.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *sort)
 
 
+def _save(df: DataFrame, path: str, mode: str, partitions: list[str]) -> int:
+    rows = Observation()
+    writer = df.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode(mode)
+    writer = writer.option("compression", "zstd")
+    if partitions:
+        writer = writer.partitionBy(*partitions)
+    writer.parquet(path)
+    return rows.get["rows"]
+
+
 def write(
     df: DataFrame,
     path: str,
@@ -60,16 +74,23 @@ def write(
 ) -> int:
     """Write or append a table and return the rows written, without a second scan."""
     partitions = PARTITIONS if partitions is None else partitions
-    sort = ["surtkey"] if sort is None else sort
-    sort = [c for c in sort if c in df.columns]
-    rows = Observation()
-    laid_out = _laid_out(df, partitions, sort) if partitions else df
-    observed = laid_out.observe(rows, F.count(F.lit(1)).alias("rows"))
-    writer = observed.write.mode(mode).option("compression", "zstd")
-    if partitions:
-        writer = writer.partitionBy(*partitions)
-    writer.parquet(path)
-    return rows.get["rows"]
+    sort = [c for c in (sort or ["surtkey"]) if c in df.columns]
+    return _save(_laid_out(df, partitions, sort) if partitions else df, path, mode, partitions)
+
+
+def write_captures(
+    typed: DataFrame, path: str, domains=TARGET_DOMAINS, mode: str = "errorifexists"
+) -> int:
+    """Write typed records as a captures table.
+
+    Only the narrow records are shuffled and sorted; the 26 derived columns are
+    computed afterwards, in the tasks that write them.
+    """
+    labelled = typed.withColumn("base_domain", domain_label("surtkey", domains))
+    laid_out = _laid_out(labelled, PARTITIONS, ["surtkey"])
+    wide = urls.with_derived_columns(urls.with_surt_columns(urls.with_url_columns(laid_out)))
+    columns = [f.name for f in table_schema().fields]
+    return _save(wide.select(*columns), path, mode, PARTITIONS)
 
 
 def append(df: DataFrame, path: str, partitions: list[str] | None = None) -> int:
@@ -94,10 +115,10 @@ def load_years(
 ) -> int:
     """Load the CDXJ files of some years in one job; returns rows written."""
     folders = cdxj.year_folders(data_dir, years, allowed, prefix)
-    lines = cdxj.read_lines(spark, folders, glob)
+    lines = cdxj.read_lines(spark, folders, glob, base_path=data_dir)
     raw = cdxj.records(lines)
     year = cdxj.year_from_path("file", prefix + r"(\d{4})")
-    return write(enrich(cdxj.captures(raw, year, domains), domains), path, mode)
+    return write_captures(cdxj.typed_records(raw, year, domains), path, domains, mode)
 
 
 def convert_cdxj(lines: DataFrame, path: str, mode: str = "errorifexists") -> int:
@@ -213,12 +234,11 @@ def propagate_dns(
     return write(fresh.select(*target.columns), path, "append", [], [])
 
 
-def table_exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+def ensure_table(spark: SparkSession, path: str, schema=None) -> None:
+    """Create an empty table folder; appending nothing leaves an existing one as it is."""
+    spark.createDataFrame([], schema or table_schema()).write.mode("append").partitionBy(
+        *PARTITIONS
+    ).parquet(path)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
