@@ -131,7 +131,7 @@ numbered AS (
 bad AS (
   SELECT 'crawl=EOT-' || crawl_year || '/shard=' || shard AS file, line, v,
     CASE WHEN v = '' THEN 1 ELSE least(len(string_split(v, ' ')), 3) END AS tokens,
-    array_to_string(list_slice(string_split(v, ' '), 3, NULL), ' ') AS blob
+    array_to_string(list_slice(string_split(v, ' '), 3, len(string_split(v, ' '))), ' ') AS blob
   FROM numbered WHERE part = 1),
 errors AS (
   SELECT file, line, v AS raw_text,

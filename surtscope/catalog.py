@@ -78,13 +78,11 @@ class Archive:
         def make(path: str) -> None:
             raw = store.materialise(self.raw(), session.run_folder(self.spark, "raw"))
             lines = derived.capture_lines(raw).unionByName(derived.broken_lines(raw))
-            placed = lines.repartition("crawl_year", "shard").sortWithinPartitions(
-                "crawl_year", "shard", "event_id", "part"
+            named = lines.withColumn("crawl", F.concat(F.lit("EOT-"), "crawl_year"))
+            placed = named.repartition("crawl", "shard").sortWithinPartitions(
+                "crawl", "shard", "event_id", "part"
             )
-            named = placed.select(
-                F.concat(F.lit("EOT-"), "crawl_year").alias("crawl"), "shard", "value"
-            )
-            named.write.partitionBy("crawl", "shard").option("compression", "gzip").text(path)
+            placed.select("crawl", "shard", "value").write.partitionBy("crawl", "shard").option("compression", "gzip").text(path)
 
         return self._once("lines", make)
 
