@@ -84,7 +84,29 @@ def host_domain(host: Column | str, domains=TARGET_DOMAINS) -> Column:
 def registered_or_other(df: DataFrame, domains=TARGET_DOMAINS, surtkey: str = "surtkey") -> Column:
     """Registered domain when it is a target, else ``other`` (a port makes it ``other``)."""
     reg = urls.stored_or(df, "reg_domain", urls.registered_domain(surtkey))
-    return F.when(reg.isin(*domains), reg).otherwise(F.lit("other"))
+    return F.coalesce(F.when(reg.isin(*domains), reg), F.lit("other"))
+
+
+LABEL = "base_domain"
+
+
+def target(df: DataFrame, domains=TARGET_DOMAINS, surtkey: str = "surtkey") -> Column:
+    """Target domain of a row, else NULL.
+
+    A table that was loaded with domain labels is partitioned by them, so the
+    stored label costs nothing and lets Spark skip folders of other domains.
+    The labels must come from a list that holds at least ``domains``.
+    """
+    if LABEL in df.columns:
+        return F.when(F.col(LABEL).isin(*domains), F.col(LABEL))
+    return surt_domain(surtkey, domains)
+
+
+def of_one_domain(df: DataFrame, domain: str, surtkey: str = "surtkey") -> DataFrame:
+    """Rows of one domain: by folder if labels are stored, by key prefix otherwise."""
+    if LABEL in df.columns:
+        return df.where(F.col(LABEL) == domain)
+    return df.where(is_one_domain(surtkey, domain))
 
 
 def is_one_domain(surtkey: Column | str, domain: str) -> Column:
@@ -95,12 +117,12 @@ def is_one_domain(surtkey: Column | str, domain: str) -> Column:
 
 
 def only_targets(df: DataFrame, domains=TARGET_DOMAINS, surtkey: str = "surtkey") -> DataFrame:
-    return df.where(surt_domain(surtkey, domains).isNotNull())
+    return df.where(target(df, domains, surtkey).isNotNull())
 
 
 def outside_targets(df: DataFrame, domains=TARGET_DOMAINS, surtkey: str = "surtkey") -> DataFrame:
     """Rows of no target domain. A row without a key is in neither set."""
-    return df.where(F.col(surtkey).isNotNull() & surt_domain(surtkey, domains).isNull())
+    return df.where(F.col(surtkey).isNotNull() & target(df, domains, surtkey).isNull())
 
 
 def is_host_in(host: Column | str, domain: str) -> Column:

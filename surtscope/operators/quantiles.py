@@ -18,9 +18,12 @@ _BLOCK_BITS = 20
 
 def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """``keys, _v, _n``: how often each non-NULL value occurs."""
+    # never NULL after the filter; saying so keeps Spark from adding its own
+    # NULL tests to some uses of this frame, which would stop their reuse
+    never_null = F.coalesce(F.col(value).cast("long"), F.lit(0).cast("long"))
     return (
         df.where(F.col(value).isNotNull())
-        .groupBy(*keys, F.col(value).cast("long").alias("_v"))
+        .groupBy(*keys, never_null.alias("_v"))
         .agg(F.count(F.lit(1)).alias("_n"))
     )
 

@@ -18,7 +18,7 @@ from surtscope.operators import rollups as roll
 
 
 def _by_domain(captures: DataFrame, domains, *columns: str) -> DataFrame:
-    label = dom.surt_domain("surtkey", domains).alias("domain")
+    label = dom.target(captures, domains).alias("domain")
     return captures.select(label, *columns).where(F.col("domain").isNotNull())
 
 
@@ -100,13 +100,9 @@ def year_overlap(captures: DataFrame, domains=TARGET_DOMAINS, years=CRAWL_YEARS)
     """How many keys of a domain were seen in exactly 1, 2, … years."""
     seen = _by_domain(captures, domains, "surtkey", "crawl_year").distinct()
     per_key = seen.groupBy("domain", "surtkey").agg(F.count("crawl_year").alias("years_present"))
-    long = per_key.groupBy("domain", "years_present").agg(F.count(F.lit(1)).alias("keys"))
     columns = _year_columns(years)
-    wide = long.groupBy("domain").agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("years_present") == i, F.col("keys"))), F.lit(0)).alias(c)
-            for i, c in enumerate(columns, 1)
-        ]
+    wide = per_key.groupBy("domain").agg(
+        *[F.count_if(F.col("years_present") == i).alias(c) for i, c in enumerate(columns, 1)]
     )
     return wide.withColumn("total_unique_surts", roll.row_sum(columns)).orderBy(
         F.col("total_unique_surts").desc(), "domain"

@@ -16,11 +16,11 @@ DNS = "text/dns"
 def dns_only(captures: DataFrame, domain: str | None = None) -> DataFrame:
     """DNS rows, of one domain if given; both tests reach the Parquet scan."""
     rows = captures.where(F.col("mime") == DNS)
-    return rows if domain is None else rows.where(dom.is_one_domain("surtkey", domain))
+    return rows if domain is None else dom.of_one_domain(rows, domain)
 
 
 def dns_share(captures: DataFrame, domains=TARGET_DOMAINS) -> DataFrame:
-    label = dom.surt_domain("surtkey", domains).alias("domain")
+    label = dom.target(captures, domains).alias("domain")
     counts = (
         captures.select(label, "mime")
         .where(F.col("domain").isNotNull())

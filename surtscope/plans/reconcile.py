@@ -60,7 +60,7 @@ def year_summary(diffs: DataFrame) -> DataFrame:
 
 
 def _labelled(df: DataFrame, key: str, domains) -> DataFrame:
-    return df.withColumn("domain_label", dom.surt_domain(key, domains))
+    return df.withColumn("domain_label", dom.target(df, domains, key))
 
 
 def _domain_counts(captures, index, domains, extra: list[str]):
