@@ -449,7 +449,8 @@ def _tables() -> dict[str, Query]:
         a = Archive(s, f)
         path, mark = session.run_folder(s, "streamed"), session.run_folder(s, "stream-mark")
         for _ in range(2):
-            ingest.load_new_files(ingest.capture_stream(s, a.lines_path(), DOMAINS, "*.gz"), path, mark)
+            stream = ingest.capture_stream(s, a.lines_path(), DOMAINS, "*.gz")
+            ingest.load_new_files(stream, path, mark, DOMAINS)
         return key_counts(store.read(s, path))
 
     def streamed_unseen(s, f):
@@ -457,7 +458,7 @@ def _tables() -> dict[str, Query]:
         path = session.run_folder(s, "unseen")
         for _ in range(2):  # a fresh checkpoint each time: every file is replayed
             stream = ingest.capture_stream(s, a.lines_path(), DOMAINS, "*.gz")
-            ingest.append_unseen(stream, path, session.run_folder(s, "unseen-mark"))
+            ingest.append_unseen(stream, path, session.run_folder(s, "unseen-mark"), DOMAINS)
         return key_counts(store.read(s, path))
 
     def exported(s, f):

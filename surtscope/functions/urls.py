@@ -112,24 +112,34 @@ def tld(surtkey: Column | str = "surtkey") -> Column:
     return F.get(surt_host_parts(surtkey), F.lit(0))
 
 
-def registered_domain(surtkey: Column | str = "surtkey") -> Column:
-    """``label.tld``; NULL when the key has fewer than two host labels."""
-    parts = surt_host_parts(surtkey)
+def _registered(labels: Column) -> Column:
     return F.when(
-        F.size(parts) >= 2,
-        F.concat(F.get(parts, F.lit(1)), F.lit("."), F.get(parts, F.lit(0))),
+        F.size(labels) >= 2,
+        F.concat(F.get(labels, F.lit(1)), F.lit("."), F.get(labels, F.lit(0))),
     )
 
 
+def _below(labels: Column) -> Column:
+    rest = F.slice(labels, F.lit(3), F.greatest(F.size(labels) - 2, F.lit(0)))
+    return F.coalesce(F.array_join(F.reverse(rest), "."), F.lit(""))
+
+
+def _extension(path: Column) -> Column:
+    return F.lower(F.regexp_extract(path, EXTENSION, 1))
+
+
+def registered_domain(surtkey: Column | str = "surtkey") -> Column:
+    """``label.tld``; NULL when the key has fewer than two host labels."""
+    return _registered(surt_host_parts(surtkey))
+
+
 def full_subdomain(surtkey: Column | str = "surtkey") -> Column:
     """Labels below the registered domain in reading order, ``''`` if none."""
-    parts = surt_host_parts(surtkey)
-    below = F.slice(parts, F.lit(3), F.greatest(F.size(parts) - 2, F.lit(0)))
-    return F.coalesce(F.array_join(F.reverse(below), "."), F.lit(""))
+    return _below(surt_host_parts(surtkey))
 
 
 def extension(surtkey: Column | str = "surtkey") -> Column:
-    return F.lower(F.regexp_extract(surt_path(surtkey), EXTENSION, 1))
+    return _extension(surt_path(surtkey))
 
 
 def filename(surtkey: Column | str = "surtkey") -> Column:
@@ -186,28 +196,48 @@ def with_url_columns(df: DataFrame, url: str = "url") -> DataFrame:
     ).drop("_path")
 
 
-def with_surt_columns(df: DataFrame, surtkey: str = "surtkey") -> DataFrame:
+def _with_pieces(df: DataFrame, surtkey: str) -> DataFrame:
     base = df.withColumns({"surthost": surt_host(surtkey), "_path": surt_path(surtkey)})
-    pieces = base.withColumns(
-        {"_labels": _pieces(F.col("surthost"), ","), "_path": _path_pieces(F.col("_path"))}
+    return base.withColumns(
+        {"_labels": _pieces(F.col("surthost"), ","), "_segments": _path_pieces(F.col("_path"))}
     )
+
+
+def _segment_columns() -> dict[str, Column]:
     cols = {f"surthost_seg_{i}": F.get("_labels", F.lit(i)) for i in range(SURT_HOST_DEPTH)}
     for i in range(1, SURT_PATH_DEPTH + 1):
-        cols[f"surtpath_{i}"] = F.get("_path", F.lit(i - 1))
-    return pieces.withColumns(cols).drop("_labels", "_path")
+        cols[f"surtpath_{i}"] = F.get("_segments", F.lit(i - 1))
+    return cols
+
+
+def _derived_columns() -> dict[str, Column]:
+    labels, path = F.col("_labels"), F.col("_path")
+    return {
+        "reg_domain": _registered(labels),
+        "sub_full": _below(labels),
+        "ext": _extension(path),
+        "filename": F.regexp_extract(path, FILENAME, 1),
+        "pdf_name": F.regexp_extract(path, PDF_NAME, 1),
+        "depth": F.size("_segments"),
+    }
+
+
+_TEMPORARY = ("_path", "_labels", "_segments")
+
+
+def with_surt_columns(df: DataFrame, surtkey: str = "surtkey") -> DataFrame:
+    return _with_pieces(df, surtkey).withColumns(_segment_columns()).drop(*_TEMPORARY)
 
 
 def with_derived_columns(df: DataFrame, surtkey: str = "surtkey") -> DataFrame:
-    return df.withColumns(
-        {
-            "reg_domain": registered_domain(surtkey),
-            "sub_full": full_subdomain(surtkey),
-            "ext": extension(surtkey),
-            "filename": filename(surtkey),
-            "pdf_name": pdf_name(surtkey),
-            "depth": path_depth(surtkey),
-        }
-    )
+    """Add the derived columns; ``surthost`` comes along."""
+    return _with_pieces(df, surtkey).withColumns(_derived_columns()).drop(*_TEMPORARY)
+
+
+def with_all_surt_columns(df: DataFrame, surtkey: str = "surtkey") -> DataFrame:
+    """SURT and derived columns together, from one pass over the key."""
+    both = {**_segment_columns(), **_derived_columns()}
+    return _with_pieces(df, surtkey).withColumns(both).drop(*_TEMPORARY)
 
 
 def stored_or(df: DataFrame, name: str, otherwise: Column) -> Column:

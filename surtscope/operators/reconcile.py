@@ -30,22 +30,23 @@ def largest_gap_first(diffs: DataFrame, *ties: str, diff: str = "diff") -> DataF
     return diffs.orderBy(F.abs(F.col(diff)).desc_nulls_last(), *[F.col(t).asc_nulls_last() for t in ties])
 
 
+def _same_key(left: str, right: str, keys: list[str]):
+    """Equal keys; NULL parts count as equal, so that a second run adds nothing."""
+    return [F.col(f"{left}.{k}").eqNullSafe(F.col(f"{right}.{k}")) for k in keys]
+
+
 def absent_from(df: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of a small ``df`` whose key does not occur in a possibly huge ``other``.
+    """Rows of ``df`` whose key does not occur in ``other``."""
+    seen = other.select(*keys).alias("seen")
+    return df.alias("new").join(seen, _same_key("seen", "new", keys), "left_anti")
+
+
+def with_keys_of(other: DataFrame, df: DataFrame, keys: list[str]) -> DataFrame:
+    """The keys of a huge ``other`` that occur in a smaller ``df``.
 
-    ``other`` is first cut down to the keys that can match, so that it is
-    scanned once and not shuffled as long as ``df`` is small; Catalyst decides
-    that from the real size of ``df``. NULL key parts compare as equal, so a
-    second run adds nothing.
+    Cuts ``other`` down in the tasks that scan it, as long as the keys of
+    ``df`` are small enough for Catalyst to broadcast; beyond that both sides
+    are shuffled.
     """
-    def key(alias: str):
-        return [F.col(f"{alias}.{k}").eqNullSafe(F.col(f"new.{k}")) for k in keys]
-
-    new = df.alias("new")
-    candidates = (
-        other.select(*keys)
-        .alias("old")
-        .join(df.select(*keys).distinct().alias("new"), key("old"), "left_semi")
-        .alias("seen")
-    )
-    return new.join(candidates, key("seen"), "left_anti")
+    wanted = df.select(*keys).distinct().alias("wanted")
+    return other.select(*keys).alias("all").join(wanted, _same_key("all", "wanted", keys), "left_semi")

@@ -22,6 +22,7 @@ from pyspark.sql import types as T
 from surtscope.config import CRAWL_YEARS, resolve_years
 from surtscope.functions import urls
 from surtscope.operators import domains as dom
+from surtscope.operators.fences import computed_once
 
 # JSON keys kept from a capture line.
 JSON_KEYS = (
@@ -79,15 +80,19 @@ def year_from_path(file: Column | str = "file", pattern: str = r"EOT-(\d{4})") -
 
 
 def _parse(lines: DataFrame) -> DataFrame:
-    """Split each line and parse its JSON; keeps every input column."""
-    tokens = F.split(F.btrim(F.col("value"), F.lit(_WHITESPACE)), " ", 3)
-    split = lines.withColumn("_tokens", tokens)
+    """Split each line and parse its JSON once; keeps every input column.
+
+    Filters on the key or the token count run before the parsing, filters on
+    the parsed record after it.
+    """
+    trimmed = F.btrim(F.col("value"), F.lit(_WHITESPACE))
+    split = lines.withColumn("_tokens", F.split(trimmed, " ", 3))
     blob = F.get(F.col("_tokens"), F.lit(2))
     in_array = F.from_json(
         F.concat(F.lit("["), blob, F.lit("]")), T.ArrayType(RECORD), _JSON_OPTIONS
     )
-    parsed = split.withColumns(
-        {"_blob": blob, "_array": F.when(F.btrim(blob).startswith("{"), in_array)}
+    parsed = computed_once(
+        split, {"_blob": blob, "_array": F.when(F.btrim(blob).startswith("{"), in_array)}
     )
     in_object = F.from_json(
         F.concat(F.lit('{"r":'), F.col("_blob"), F.lit("}")),
@@ -122,7 +127,7 @@ def records(lines: DataFrame, typed: bool = True) -> DataFrame:
     ``typed`` also drops lines whose numeric fields do not convert, which is
     what a load needs; those lines are in :func:`errors`.
     """
-    parsed = _parse(lines).where("_good")
+    parsed = _parse(lines).where((F.col("_token_count") == 3) & F.col("_good"))
     if typed:
         parsed = parsed.where(_castable(F.col("_record")))
     kept = [c for c in lines.columns if c != "value"]

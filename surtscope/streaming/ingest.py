@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from surtscope.config import TARGET_DOMAINS
-from surtscope.operators.reconcile import absent_from
+from surtscope.operators.reconcile import absent_from, with_keys_of
 from surtscope.sources import cdxj
 from surtscope.tables import store
 
@@ -25,7 +25,7 @@ def capture_stream(
     year_pattern: str = r"EOT-(\d{4})",
     files_per_batch: int = 1000,
 ) -> DataFrame:
-    """Streaming captures from all files below a folder, bad lines left out."""
+    """Streaming typed records from all files below a folder, bad lines left out."""
     lines = (
         spark.readStream.option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
@@ -33,15 +33,17 @@ def capture_stream(
         .text(folder)
         .select("value", F.col("_metadata.file_path").alias("file"))
     )
-    raw = cdxj.records(lines)
-    captures = cdxj.captures(raw, cdxj.year_from_path("file", year_pattern), domains)
-    return store.enrich(captures, domains)
+    year = cdxj.year_from_path("file", year_pattern)
+    return cdxj.typed_records(cdxj.records(lines), year, domains)
 
 
-def load_new_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+def load_new_files(
+    stream: DataFrame, path: str, checkpoint: str, domains=TARGET_DOMAINS
+) -> StreamingQuery:
     """Load everything that is new, then stop. Returns the finished query."""
     query = (
-        stream.writeStream.format("parquet")
+        store.enrich(cdxj.widen(stream), domains)
+        .writeStream.format("parquet")
         .partitionBy(*store.PARTITIONS)
         .option("compression", "zstd")
         .option("path", path)
@@ -53,22 +55,27 @@ def load_new_files(stream: DataFrame, path: str, checkpoint: str) -> StreamingQu
     return query
 
 
-def append_unseen(stream: DataFrame, path: str, checkpoint: str, key=None) -> StreamingQuery:
+def append_unseen(
+    stream: DataFrame, path: str, checkpoint: str, domains=TARGET_DOMAINS, key=None
+) -> StreamingQuery:
     """Append only captures whose key the table does not hold yet.
 
     Unlike the plain file sink this also survives a lost checkpoint: replayed
     batches find their rows already there. Only the batch's own crawl years of
-    the table are read.
+    the table are read, and the batch is parsed once.
     """
     key = key or store.CAPTURE_KEY
 
     def add(batch: DataFrame, _batch_id: int) -> None:
+        batch.persist()
         years = [r[0] for r in batch.select("crawl_year").distinct().collect()]
         table = store.read(batch.sparkSession, path).where(F.col("crawl_year").isin(*years))
-        store.write(absent_from(batch.dropDuplicates(key), table, key), path, "append")
+        seen = with_keys_of(table, batch, key)
+        fresh = absent_from(batch.dropDuplicates(key), seen, key)
+        store.write_captures(fresh, path, domains, "append")
+        batch.unpersist()
 
     store.ensure_table(stream.sparkSession, path)
-
     query = (
         stream.writeStream.foreachBatch(add)
         .option("checkpointLocation", checkpoint)

@@ -88,7 +88,7 @@ def write_captures(
     """
     labelled = typed.withColumn("base_domain", domain_label("surtkey", domains))
     laid_out = _laid_out(labelled, PARTITIONS, ["surtkey"])
-    wide = urls.with_derived_columns(urls.with_surt_columns(urls.with_url_columns(laid_out)))
+    wide = urls.with_all_surt_columns(urls.with_url_columns(laid_out))
     columns = [f.name for f in table_schema().fields]
     return _save(wide.select(*columns), path, mode, PARTITIONS)
 
