@@ -41,8 +41,9 @@ def enrich(captures: DataFrame, domains=TARGET_DOMAINS) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Read a table with a given schema, so a year stays a string."""
-    return spark.read.schema(schema or table_schema()).parquet(path)
+    """Read a table with a given schema: a year stays a string, columns keep their order."""
+    schema = schema or table_schema()
+    return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
 def _laid_out(df: DataFrame, partitions: list[str], sort: list[str]) -> DataFrame:
