@@ -129,7 +129,7 @@ numbered AS (
         UNION ALL
         SELECT event_id, 0, crawl_year, event_id // 50000, NULL FROM raw)),
 bad AS (
-  SELECT 'crawl=EOT-' || crawl_year || '/shard=' || shard AS file, line, v,
+  SELECT 'crawl=CRAWL-' || crawl_year || '/shard=' || shard AS file, line, v,
     CASE WHEN v = '' THEN 1 ELSE least(len(string_split(v, ' ')), 3) END AS tokens,
     array_to_string(list_slice(string_split(v, ' '), 3, len(string_split(v, ' '))), ' ') AS blob
   FROM numbered WHERE part = 1),

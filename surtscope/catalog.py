@@ -64,7 +64,7 @@ class Archive:
     def index_path(self) -> str:
         def make(path: str) -> None:
             rows = derived.index_rows(self.captures())
-            keyed = rows.withColumn("crawl", F.concat(F.lit("EOT-"), "crawl_year")).drop("crawl_year")
+            keyed = rows.withColumn("crawl", F.concat(F.lit("CRAWL-"), "crawl_year")).drop("crawl_year")
             store.write(keyed, path, partitions=["crawl"], sort=["url_surtkey"])
 
         return self._once("index", make)
@@ -78,7 +78,7 @@ class Archive:
         def make(path: str) -> None:
             raw = store.materialise(self.raw(), session.run_folder(self.spark, "raw"))
             lines = derived.capture_lines(raw).unionByName(derived.broken_lines(raw))
-            named = lines.withColumn("crawl", F.concat(F.lit("EOT-"), "crawl_year"))
+            named = lines.withColumn("crawl", F.concat(F.lit("CRAWL-"), "crawl_year"))
             placed = named.repartition("crawl", "shard").sortWithinPartitions(
                 "crawl", "shard", "event_id", "part"
             )
@@ -298,13 +298,13 @@ def _sources() -> dict[str, Query]:
 
     def named_years(s, f):
         root = Archive(s, f).index_path()
-        folders = {y: f"{root}/crawl=EOT-{y}" for y in YEARS if y != "2024"}
+        folders = {y: f"{root}/crawl=CRAWL-{y}" for y in YEARS if y != "2024"}
         rows = index.read_years(s, folders, ["2004", "2020"])
         return rows.groupBy("crawl_year", "subset").agg(F.count(F.lit(1)).alias("rows"))
 
     def pruned_year(s, f):
         rows = index.read_partitioned(s, Archive(s, f).index_path(), "crawl")
-        return rows.where(F.col("crawl") == "EOT-2020").groupBy("fetch_status").agg(
+        return rows.where(F.col("crawl") == "CRAWL-2020").groupBy("fetch_status").agg(
             F.count(F.lit(1)).alias("rows")
         )
 
@@ -397,7 +397,7 @@ def _tables() -> dict[str, Query]:
         a = Archive(s, f)
         path = session.run_folder(s, "loaded")
         store.load_years(
-            s, a.lines_path(), path, ["2016", "2020"], DOMAINS, glob="*.gz", prefix="crawl=EOT-"
+            s, a.lines_path(), path, ["2016", "2020"], DOMAINS, glob="*.gz", prefix="crawl=CRAWL-"
         )
         return key_counts(store.read(s, path))
 

@@ -24,6 +24,11 @@ TARGET_DOMAINS = (
     "va.gov",
 )
 
+# One folder per crawl year, ``<archive>-YYYY``. The archive's own name goes in
+# as ``prefix``; the year is read from the last such folder of a path.
+YEAR_FOLDER_PREFIX = "CRAWL-"
+YEAR_IN_PATH = r".*[A-Za-z]-(\d{4})/"
+
 # How many labels and path segments become columns of their own.
 PATH_DEPTH = 5
 SURT_HOST_DEPTH = 6

@@ -34,6 +34,11 @@ def build_session(app_name: str = "surtscope", cpus: int | None = None) -> Spark
             .config("spark.ui.showConsoleProgress", "false")
             .config("spark.driver.memory", "8g")
         )
+    else:
+        # many small shuffle partitions to start with; AQE merges them by size
+        builder = builder.config(
+            "spark.sql.adaptive.coalescePartitions.initialPartitionNum", "8192"
+        ).config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "128m")
     return builder.getOrCreate()
 
 

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from surtscope.config import CRAWL_YEARS, resolve_years
+from surtscope.config import CRAWL_YEARS, YEAR_FOLDER_PREFIX, YEAR_IN_PATH, resolve_years
 from surtscope.functions import urls
 from surtscope.operators import domains as dom
 from surtscope.operators.fences import computed_once
@@ -70,12 +70,17 @@ def read_lines(
     )
 
 
-def year_folders(data_dir: str, years="all", allowed: Iterable[str] = CRAWL_YEARS, prefix: str = "EOT-") -> list[str]:
+def year_folders(
+    data_dir: str,
+    years="all",
+    allowed: Iterable[str] = CRAWL_YEARS,
+    prefix: str = YEAR_FOLDER_PREFIX,
+) -> list[str]:
     """One folder per requested crawl year, unknown years rejected."""
     return [f"{data_dir}/{prefix}{y}" for y in resolve_years(years, allowed)]
 
 
-def year_from_path(file: Column | str = "file", pattern: str = r"EOT-(\d{4})") -> Column:
+def year_from_path(file: Column | str = "file", pattern: str = YEAR_IN_PATH) -> Column:
     return F.regexp_extract(file, pattern, 1)
 
 

@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from surtscope.config import CRAWL_YEARS, resolve_years
+from surtscope.config import CRAWL_YEARS, YEAR_IN_PATH, resolve_years
 
 
 def read_year(spark: SparkSession, folder: str, year: str) -> DataFrame:
@@ -28,7 +28,7 @@ def read_years(
 
 
 def read_partitioned(spark: SparkSession, root: str, key: str = "crawl") -> DataFrame:
-    """A ``crawl=EOT-YYYY`` layout; a filter on the year prunes folders."""
+    """A ``crawl=<archive>-YYYY`` layout; a filter on the year prunes folders."""
     df = spark.read.option("basePath", root).parquet(root)
     return df.withColumn("crawl_year", F.regexp_extract(F.col(key).cast("string"), r"(\d{4})\z", 1))
 
@@ -40,7 +40,7 @@ def read_recursive(spark: SparkSession, root: str, glob: str = "*.parquet") -> D
     )
 
 
-def with_year_from_file(df: DataFrame, pattern: str = r"EOT-(\d{4})") -> DataFrame:
+def with_year_from_file(df: DataFrame, pattern: str = YEAR_IN_PATH) -> DataFrame:
     """Crawl year cut from each row's file path."""
     return df.withColumn(
         "crawl_year", F.regexp_extract(F.col("_metadata.file_path"), pattern, 1)

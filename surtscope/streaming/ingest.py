@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from surtscope.config import TARGET_DOMAINS
+from surtscope.config import TARGET_DOMAINS, YEAR_IN_PATH
 from surtscope.operators.reconcile import absent_from, with_keys_of
 from surtscope.sources import cdxj
 from surtscope.tables import store
@@ -22,7 +22,7 @@ def capture_stream(
     folder: str,
     domains=TARGET_DOMAINS,
     glob: str = "*.cdxj.gz",
-    year_pattern: str = r"EOT-(\d{4})",
+    year_pattern: str = YEAR_IN_PATH,
     files_per_batch: int = 1000,
 ) -> DataFrame:
     """Streaming typed records from all files below a folder, bad lines left out."""

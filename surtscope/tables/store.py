@@ -13,7 +13,7 @@ from collections.abc import Iterable
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from surtscope.config import CRAWL_YEARS, TARGET_DOMAINS
+from surtscope.config import CRAWL_YEARS, TARGET_DOMAINS, YEAR_FOLDER_PREFIX
 from surtscope.functions import urls
 from surtscope.operators import domains as dom
 from surtscope.operators.reconcile import absent_from
@@ -111,14 +111,14 @@ def load_years(
     domains=TARGET_DOMAINS,
     allowed: Iterable[str] = CRAWL_YEARS,
     glob: str = "*.cdxj.gz",
-    prefix: str = "EOT-",
+    prefix: str = YEAR_FOLDER_PREFIX,
     mode: str = "append",
 ) -> int:
     """Load the CDXJ files of some years in one job; returns rows written."""
     folders = cdxj.year_folders(data_dir, years, allowed, prefix)
     lines = cdxj.read_lines(spark, folders, glob, base_path=data_dir)
     raw = cdxj.records(lines)
-    year = cdxj.year_from_path("file", prefix + r"(\d{4})")
+    year = cdxj.year_from_path()
     return write_captures(cdxj.typed_records(raw, year, domains), path, domains, mode)
 
 

@@ -64,8 +64,8 @@ def write(folder, name, lines):
 def lines(spark, tmp_path):
     def read(*files):
         for i, content in enumerate(files):
-            write(tmp_path / "EOT-2024", f"f{i}.cdxj.gz", content)
-        return cdxj.read_lines(spark, str(tmp_path / "EOT-2024"))
+            write(tmp_path / "CRAWL-2024", f"f{i}.cdxj.gz", content)
+        return cdxj.read_lines(spark, str(tmp_path / "CRAWL-2024"))
 
     return read
 

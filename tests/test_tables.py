@@ -26,8 +26,8 @@ def archive(tmp_path):
         body += [line("gov,doi,data)/a/b.pdf", "http://data.doi.gov/a/b.pdf", year)]
         body += [line("gov,other)/", "http://other.gov/", year)]
         body += [b for b, _ in BROKEN[:4]]
-        write(tmp_path / "cdxj" / f"EOT-{year}", "one.cdxj.gz", body)
-    write(tmp_path / "cdxj" / "EOT-2024", "two.cdxj.gz", [DNS_LINE, GOOD, *FINE[2:4]])
+        write(tmp_path / "cdxj" / f"CRAWL-{year}", "one.cdxj.gz", body)
+    write(tmp_path / "cdxj" / "CRAWL-2024", "two.cdxj.gz", [DNS_LINE, GOOD, *FINE[2:4]])
     return tmp_path
 
 
@@ -118,7 +118,7 @@ def test_dns_backfill_is_idempotent(spark, load, archive):
     bare = str(archive / "bare")
     no_dns = store.read(spark, path).where("mime <> 'text/dns' or mime is null")
     store.write(no_dns, bare)
-    lines = cdxj.read_lines(spark, [str(archive / "cdxj" / f"EOT-{y}") for y in YEARS])
+    lines = cdxj.read_lines(spark, [str(archive / "cdxj" / f"CRAWL-{y}") for y in YEARS])
     year = cdxj.year_from_path()
     assert store.backfill_dns(spark, lines, bare, year, TARGETS) == 1
     assert store.backfill_dns(spark, lines, bare, year, TARGETS) == 0
@@ -139,14 +139,14 @@ def test_dns_propagation(spark, load, archive):
 
 
 def test_conversion_keeps_good_lines(spark, archive):
-    lines = cdxj.read_lines(spark, str(archive / "cdxj" / "EOT-2024"))
+    lines = cdxj.read_lines(spark, str(archive / "cdxj" / "CRAWL-2024"))
     out = str(archive / "converted")
     assert store.convert_cdxj(lines, out) == 32 + 4
     assert spark.read.parquet(out).columns == cdxj.RAW_COLUMNS
 
 
 def test_quarantine_export(spark, archive):
-    lines = cdxj.read_lines(spark, str(archive / "cdxj" / "EOT-2020"))
+    lines = cdxj.read_lines(spark, str(archive / "cdxj" / "CRAWL-2020"))
     out = str(archive / "errors")
     store.write_csv(cdxj.errors(lines), out)
     got = spark.read.option("header", "true").csv(out)
@@ -162,7 +162,7 @@ def test_stream_equals_batch_and_loads_once(spark, load, archive, collect):
         ingest.load_new_files(stream, out, mark, TARGETS)
     streamed = store.read(spark, out)
     assert collect(streamed) == collect(store.read(spark, path).select(*streamed.columns))
-    write(archive / "cdxj" / "EOT-2024", "late.cdxj.gz", [line("gov,ed)/late", "http://ed.gov/late")])
+    write(archive / "cdxj" / "CRAWL-2024", "late.cdxj.gz", [line("gov,ed)/late", "http://ed.gov/late")])
     ingest.load_new_files(ingest.capture_stream(spark, str(archive / "cdxj"), TARGETS), out, mark, TARGETS)
     assert store.read(spark, out).count() == n + 1
 
@@ -179,14 +179,14 @@ def test_unseen_append_survives_a_lost_checkpoint(spark, load, archive):
 def test_index_sources(spark, archive, rows):
     root = archive / "index"
     for y, extra in (("2020", "a"), ("2024", "b")):
-        rows(f"url string, {extra} string", ("u" + y, y)).write.parquet(str(root / f"crawl=EOT-{y}"))
-    folders = {y: str(root / f"crawl=EOT-{y}") for y in YEARS}
+        rows(f"url string, {extra} string", ("u" + y, y)).write.parquet(str(root / f"crawl=CRAWL-{y}"))
+    folders = {y: str(root / f"crawl=CRAWL-{y}") for y in YEARS}
     both = index.read_years(spark, folders, "all", YEARS)
     assert {(r.url, r.a, r.b, r.crawl_year) for r in both.collect()} == {
         ("u2020", "2020", None, "2020"),
         ("u2024", None, "2024", "2024"),
     }
-    pruned = index.read_partitioned(spark, str(root)).where("crawl = 'EOT-2020'")
+    pruned = index.read_partitioned(spark, str(root)).where("crawl = 'CRAWL-2020'")
     assert [r.crawl_year for r in pruned.collect()] == ["2020"]
     named = index.with_year_from_file(index.read_recursive(spark, str(root)))
     assert sorted(r.crawl_year for r in named.select("crawl_year").collect()) == ["2020", "2024"]
