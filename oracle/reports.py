@@ -233,6 +233,10 @@ SELECT {_BD_OF[key]}crawl_year, count(*) AS node_urls, min({number}) AS min_node
 FROM c WHERE surtpath_1 = 'node' GROUP BY ALL""")
 
 
+def _per_domain(select: str, where: str = "true") -> str:
+    return with_captures(f"SELECT {_BD}, {select} FROM c WHERE {where} GROUP BY ALL")
+
+
 def _prefixes(depth: int, first: str | None = None, key: str = "") -> str:
     first = first or ("(root)" if depth == 1 else "(none)")
     segs = [f"COALESCE(NULLIF(surtpath_1, ''), '{first}') AS seg1"] + [
@@ -247,6 +251,13 @@ def _limited_per_domain(sql: str, order: str, columns: str, k: int = 30) -> str:
   FROM ({sql})) WHERE r <= {k}"""
 
 
+def _ranked_paths(group: str, extra: str, where: str = "true") -> str:
+    counted = _per_domain(f"{extra}{_SEG1} AS seg1, count(*) AS n", where)
+    return f"""SELECT {group}, seg1, n FROM (
+  SELECT *, row_number() OVER (PARTITION BY {group} ORDER BY n DESC, seg1) AS r FROM ({counted}))
+WHERE r <= 20"""
+
+
 _YEAR_COLS = ", ".join(f'"{y}"' for y in YEARS)
 _SIZE = f"""
 SELECT *, round_even(total_bytes / 1e9 * 100, 0) / 100 AS total_gb FROM (
@@ -435,7 +446,42 @@ UNION ALL SELECT base_domain, 'Only in 2024', count(*) FILTER (WHERE b AND NOT a
         "snk_structure_path_depth": _depth("base_domain"),
         "snk_structure_clean_urls": _clean("base_domain"),
         "snk_structure_node_ids": _nodes("base_domain"),
-        "snk_structure_path_prefixes_3": _limited_per_domain(_prefixes(3, None, "base_domain"), "seg1, seg2, seg3", f"base_domain, seg1, seg2, seg3, {_YEAR_COLS}, total"),
+        **{
+            f"snk_structure_path_prefixes_{d}": _limited_per_domain(
+                _prefixes(d, None, "base_domain"),
+                ", ".join(f"seg{i}" for i in range(1, d + 1)),
+                f"base_domain, {', '.join(f'seg{i}' for i in range(1, d + 1))}, {_YEAR_COLS}, total",
+            )
+            for d in range(1, 6)
+        },
+        "snk_structure_captures_per_year": _per_domain("crawl_year, count(*) AS captures"),
+        "snk_structure_host_years": _per_domain("host, crawl_year, count(*) AS n"),
+        "snk_structure_pdf_per_year": _per_domain("crawl_year, count(*) AS n", f"{_EXT} = 'pdf'"),
+        "snk_structure_mime_by_extension": _per_domain(f"mime, {_EXT_LABEL} AS ext, count(*) AS n"),
+        "snk_structure_extensions": _limited_per_domain(
+            _per_domain(f"{_EXT_LABEL} AS ext, {_years()}"), "ext", f"base_domain, ext, {_YEAR_COLS}, total"
+        ),
+        "snk_structure_pdf_names": _limited_per_domain(
+            _per_domain(f"{_PDF} AS pdf_name, {_years()}", f"{_EXT} = 'pdf'"),
+            "pdf_name",
+            f"base_domain, pdf_name, {_YEAR_COLS}, total",
+        ),
+        "snk_structure_extension_shift": _limited_per_domain(
+            _per_domain(f"{_EXT_LABEL} AS ext, {_years()}", f"{_EXT} <> ''"),
+            "ext",
+            f"base_domain, ext, {_YEAR_COLS}",
+            10,
+        ),
+        "snk_structure_top_paths": _ranked_paths("base_domain", "", f"{_SEG1} <> '(root)'"),
+        "snk_structure_top_paths_per_year": _ranked_paths("base_domain, crawl_year", "crawl_year, "),
+        "snk_structure_path_churn_all_periods": w(f""", {_CHURN_BASE.format(keys=_BD + ', ')},
+f AS (SELECT base_domain, seg1, list(crawl_year) AS ys FROM seen GROUP BY 1, 2),
+pairs AS (SELECT * FROM (VALUES {', '.join(f"('{a}', '{b}')" for a, b in zip(YEARS, YEARS[1:]))}) v(a, b))
+SELECT base_domain, a || '→' || b AS period,
+  count(*) FILTER (WHERE list_contains(ys, a) AND NOT list_contains(ys, b)) AS "Disappeared",
+  count(*) FILTER (WHERE list_contains(ys, a) AND list_contains(ys, b)) AS "Persisted",
+  count(*) FILTER (WHERE list_contains(ys, b) AND NOT list_contains(ys, a)) AS "New"
+FROM f, pairs GROUP BY 1, 2"""),
         "snk_structure_filenames": _limited_per_domain(w(f"SELECT {_BD}, COALESCE(NULLIF({_NAME}, ''), '(root)') AS filename, {_years()} FROM c GROUP BY 1, 2"), "filename", f"base_domain, filename, {_YEAR_COLS}, total"),
     }
 

@@ -327,9 +327,11 @@ def _sources() -> dict[str, Query]:
         a = Archive(s, f)
         return inventory.pending(_remote_files(a), _local_files(a)).select("key", "size")
 
+    event_id = (F.col("offset") / 1000).cast("bigint").alias("event_id")
+
     def url_parts(s, f):
-        raw = Archive(s, f).raw()
-        return urls.with_url_columns(raw.select("event_id", "url")).withColumns(
+        rows = Archive(s, f).captures().select(event_id, "url")
+        return urls.with_url_columns(rows).withColumns(
             {
                 "authority_host": urls.authority_host("url"),
                 "host_and_port": urls.host_and_port("url"),
@@ -339,9 +341,8 @@ def _sources() -> dict[str, Query]:
         )
 
     def surt_parts(s, f):
-        raw = Archive(s, f).raw()
-        base = urls.with_surt_columns(raw.select("event_id", "surtkey"))
-        return urls.with_derived_columns(base).withColumns(
+        rows = Archive(s, f).captures().select(event_id, "surtkey")
+        return urls.with_all_surt_columns(rows).withColumns(
             {
                 "tld": urls.tld(),
                 "by_surt": dom.surt_domain("surtkey", DOMAINS),
@@ -484,17 +485,6 @@ def _tables() -> dict[str, Query]:
 
         return run
 
-    frames = [
-        "subdomains",
-        "subdomain_years",
-        "extension_totals",
-        "path_churn",
-        "path_depth",
-        "clean_urls",
-        "node_ids",
-        "path_prefixes_3",
-        "filenames",
-    ]
     return {
         "snk_load_years": load_table,
         "snk_split_by_domain": split,
@@ -506,7 +496,11 @@ def _tables() -> dict[str, Query]:
         "snk_materialised_view": materialised,
         "str_load_new_files": streamed,
         "str_append_unseen": streamed_unseen,
-        **{f"snk_structure_{n}": structure_report(n) for n in frames},
+        **{
+            f"snk_structure_{n}": structure_report(n)
+            for n in structure.REPORT_FRAMES
+            if n != "path_heat"
+        },
     }
 
 

@@ -50,16 +50,19 @@ def _laid_out(df: DataFrame, partitions: list[str], sort: list[str]) -> DataFram
     """Few files per partition, and several tasks for a partition that is huge.
 
     The rebalance hint lets AQE split a domain that holds a third of all rows
-    and merge small ones; sorting by SURT key gives the files tight min/max
-    ranges for prefix filters.
+    and merge small ones. Sorting by SURT key puts similar strings together,
+    which compresses well, and lets key-prefix filters skip pages of a file.
     """
     return df.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *sort)
 
 
 def _save(df: DataFrame, path: str, mode: str, partitions: list[str]) -> int:
+    """Write and count. Mode ``replace`` swaps only the partitions that ``df`` has."""
     rows = Observation()
-    writer = df.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode(mode)
-    writer = writer.option("compression", "zstd")
+    writer = df.observe(rows, F.count(F.lit(1)).alias("rows")).write
+    writer = writer.mode("overwrite" if mode == "replace" else mode).option("compression", "zstd")
+    if mode == "replace":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.parquet(path)
@@ -114,7 +117,11 @@ def load_years(
     prefix: str = YEAR_FOLDER_PREFIX,
     mode: str = "append",
 ) -> int:
-    """Load the CDXJ files of some years in one job; returns rows written."""
+    """Load the CDXJ files of some years in one job; returns rows written.
+
+    ``append`` adds to what is there, so loading a year twice doubles it;
+    ``replace`` swaps the loaded years' partitions and can be repeated.
+    """
     folders = cdxj.year_folders(data_dir, years, allowed, prefix)
     lines = cdxj.read_lines(spark, folders, glob, base_path=data_dir)
     raw = cdxj.records(lines)
@@ -181,8 +188,15 @@ def migrate_surt_columns(df: DataFrame, path: str, partitions: list[str] | None
 
 
 def publish(spark: SparkSession, name: str, path: str) -> None:
-    """Point the catalog view ``name`` at a finished table folder."""
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT * FROM parquet.`{path}`")
+    """Point the catalog view ``name`` at a finished table folder.
+
+    Partition values are read from folder names; the view keeps them strings.
+    """
+    columns = ", ".join(
+        f"CAST(`{c}` AS STRING) AS `{c}`" if c in PARTITIONS else f"`{c}`"
+        for c in spark.read.parquet(path).columns
+    )
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {columns} FROM parquet.`{path}`")
 
 
 def create_temp_view(df: DataFrame, name: str) -> DataFrame:

@@ -57,6 +57,21 @@ def test_load_of_chosen_years(spark, load):
         load(["2013"], "u")
 
 
+def test_replacing_load_can_be_repeated(spark, load):
+    path, n = load()
+    for years in ("all", ["2020"]):
+        load(years, mode="replace")
+        assert store.read(spark, path).count() == n
+
+
+def test_published_view_keeps_years_as_strings(spark, load):
+    path, n = load()
+    store.publish(spark, "captures_view", path)
+    view = spark.table("captures_view")
+    assert dict(view.dtypes)["crawl_year"] == "string"
+    assert view.where("crawl_year = '2020'").count() == 31
+
+
 def test_append_uses_column_names(spark, load):
     path, n = load(["2020"])
     rows = store.read(spark, path).limit(3)
