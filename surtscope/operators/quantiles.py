@@ -2,10 +2,10 @@
 
 ``percentile`` keeps one map of value to count per group in a single task; a
 domain that holds a third of all captures would need all its distinct sizes
-there. Instead the values are counted, the counts are summed into blocks of
-``2**20`` neighbouring values, the block that holds each wanted rank is found
-on that small histogram, and only those blocks are searched. No task ever
-holds more than one block of one group.
+there. Here values fall into blocks of ``2**16`` neighbours. A first pass counts
+rows per block, the block that holds each wanted rank is found on that small
+histogram, and a second pass counts single values in those blocks only. Nothing
+but counts is shuffled, and no task holds more than one block of one group.
 """
 
 from __future__ import annotations
@@ -13,40 +13,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-_BLOCK_BITS = 20
+_BLOCK_BITS = 16
+# most groups for which the list of wanted blocks may be broadcast; a group
+# adds two short rows per wanted fraction
+_BROADCAST_GROUPS = 1000
 
 
-def value_counts(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, _v, _n``: how often each non-NULL value occurs."""
-    # never NULL after the filter; saying so keeps Spark from adding its own
-    # NULL tests to some uses of this frame, which would stop their reuse
-    never_null = F.coalesce(F.col(value).cast("long"), F.lit(0).cast("long"))
-    return (
-        df.where(F.col(value).isNotNull())
-        .groupBy(*keys, never_null.alias("_v"))
-        .agg(F.count(F.lit(1)).alias("_n"))
-    )
+def blocked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """``keys, _v, _block`` of the rows that have a value; keys must not be NULL."""
+    # never NULL after the filter; saying so keeps Spark from adding NULL tests
+    # to some uses of this frame, which would stop their reuse
+    number = F.coalesce(F.col(value).cast("long"), F.lit(0).cast("long"))
+    rows = df.where(F.col(value).isNotNull()).select(*keys, number.alias("_v"))
+    return rows.withColumn("_block", F.shiftright(F.col("_v"), _BLOCK_BITS))
 
 
-def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
-    """``keys`` plus one double column per entry of ``wanted`` (name -> fraction).
-
-    ``counts`` comes from :func:`value_counts`; keys must not be NULL.
-    Interpolates between the two neighbouring ranks, as ``percentile_cont``
-    does.
-    """
-    counts = counts.withColumn("_block", F.shiftright(F.col("_v"), _BLOCK_BITS))
-    blocks = counts.groupBy(*keys, "_block").agg(F.sum("_n").alias("_n"))
+def _wanted_ranks(rows: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
+    """Per block the wanted ranks that lie in it, counted from its first row."""
+    blocks = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
     by_block = Window.partitionBy(*keys).orderBy("_block")
     whole = Window.partitionBy(*keys)
-    blocks = blocks.select(
+    placed = blocks.select(
         *keys,
         "_block",
         "_n",
         F.sum("_n").over(by_block.rowsBetween(Window.unboundedPreceding, 0)).alias("_upto"),
         F.sum("_n").over(whole).alias("_all"),
     )
-    # two ranks (0-based) per wanted fraction
     targets = F.array(
         *[
             F.struct(
@@ -58,30 +51,42 @@ def quantiles(counts: DataFrame, keys: list[str], wanted: dict[str, float]) -> D
             for side in ("low", "high")
         ]
     )
-    ranks = (
-        blocks.select(*keys, "_block", "_n", "_upto", F.explode(targets).alias("t"))
-        .select(
-            *keys,
-            "_block",
-            (F.col("_upto") - F.col("_n")).alias("_before"),
-            "_upto",
-            "t.name",
-            "t.side",
-            "t.pos",
-        )
-        .withColumn(
-            "rank",
-            F.when(F.col("side") == "low", F.floor("pos")).otherwise(F.ceil("pos")),
-        )
+    before = F.col("_upto") - F.col("_n")
+    ranked = placed.select(*keys, "_block", "_upto", before.alias("_before"), F.inline(targets))
+    rank = F.when(F.col("side") == "low", F.floor("pos")).otherwise(F.ceil("pos"))
+    return (
+        ranked.withColumn("rank", rank)
         .where((F.col("rank") >= F.col("_before")) & (F.col("rank") < F.col("_upto")))
-        .select(*keys, "_block", "name", "side", "pos", (F.col("rank") - F.col("_before")).alias("rank"))
-    )
-    wanted_in = ranks.groupBy(*keys, "_block").agg(
-        F.collect_list(F.struct("name", "side", "pos", "rank")).alias("_ranks")
+        .groupBy(*keys, "_block")
+        .agg(
+            F.collect_list(
+                F.struct("name", "side", "pos", (F.col("rank") - F.col("_before")).alias("rank"))
+            ).alias("_ranks")
+        )
     )
+
+
+def quantiles(
+    rows: DataFrame,
+    keys: list[str],
+    wanted: dict[str, float],
+    max_groups: int | None = None,
+) -> DataFrame:
+    """``keys`` plus one double column per entry of ``wanted`` (name -> fraction).
+
+    ``rows`` comes from :func:`blocked`. Interpolates between the two
+    neighbouring ranks, as ``percentile_cont`` does. ``max_groups`` is an upper
+    bound on the number of groups, if the caller has one; the few wanted blocks
+    are then broadcast so that the second pass shuffles only their counts.
+    """
+    ranks = _wanted_ranks(rows, keys, wanted)
+    bounded = max_groups is not None and max_groups <= _BROADCAST_GROUPS
+    picked = ranks.select(*keys, "_block")
+    values = rows.join(F.broadcast(picked) if bounded else picked, [*keys, "_block"], "left_semi")
+    counts = values.groupBy(*keys, "_block", "_v").agg(F.count(F.lit(1)).alias("_n"))
     in_block = Window.partitionBy(*keys, "_block").orderBy("_v")
     hit = (
-        counts.join(wanted_in, [*keys, "_block"])
+        counts.join(ranks, [*keys, "_block"])
         .withColumn("_last", F.sum("_n").over(in_block.rowsBetween(Window.unboundedPreceding, 0)))
         .select(*keys, "_v", "_n", "_last", F.inline("_ranks"))
         .where((F.col("rank") >= F.col("_last") - F.col("_n")) & (F.col("rank") < F.col("_last")))

@@ -53,19 +53,22 @@ def mime_mismatch(captures: DataFrame) -> DataFrame:
 
 
 def size_statistics(captures: DataFrame, domains=TARGET_DOMAINS) -> DataFrame:
-    """Record sizes per domain. Every figure comes from one count per size."""
+    """Record sizes per domain, in narrow passes that shuffle only counts."""
     rows = captures.where(F.col("length") > 0).select(
         dom.registered_or_other(captures, domains).alias("base_domain"), "length"
     )
-    counts = quant.value_counts(rows, ["base_domain"], "length")
-    value, n = F.col("_v"), F.col("_n")
-    basic = counts.groupBy("base_domain").agg(
-        F.sum(n).alias("n"),
-        F.min(value).alias("min_bytes"),
-        F.max(value).alias("max_bytes"),
-        F.sum(value * n).alias("total_bytes"),
+    keys = ["base_domain"]
+    sizes = quant.blocked(rows, keys, "length")
+    basic = sizes.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"),
+        F.min("_v").alias("min_bytes"),
+        F.max("_v").alias("max_bytes"),
+        F.sum("_v").alias("total_bytes"),
+    )
+    # the groups are the listed domains and "other"
+    exact = quant.quantiles(
+        sizes, keys, {"median": 0.5, "p95": 0.95}, max_groups=len(domains) + 1
     )
-    exact = quant.quantiles(counts, ["base_domain"], {"median": 0.5, "p95": 0.95})
     return (
         basic.join(exact, "base_domain")
         .select(

@@ -9,6 +9,7 @@ from surtscope.config import TARGET_DOMAINS
 from surtscope.functions import urls
 from surtscope.operators import domains as dom
 from surtscope.operators import rollups as roll
+from surtscope.operators.fences import computed_once
 
 
 def index_counts(index: DataFrame, column: str) -> DataFrame:
@@ -23,12 +24,13 @@ def index_with_status(index: DataFrame, status: int = 404) -> DataFrame:
 
 def hosts_of(captures: DataFrame) -> DataFrame:
     """``host`` of URLs with an authority, port dropped; reads the url column only."""
-    return captures.select(urls.authority_host("url").alias("host"))
+    return computed_once(captures.select("url"), {"host": urls.authority_host("url")}).drop("url")
 
 
 def host_paths_of(captures: DataFrame) -> DataFrame:
     """``host`` with its port and ``path``; reads the url column only."""
-    return captures.select(urls.host_and_port("url").alias("host"), urls.url_path("url").alias("path"))
+    parts = {"host": urls.host_and_port("url"), "path": urls.url_path("url")}
+    return computed_once(captures.select("url"), parts).drop("url")
 
 
 def _labelled(rows: DataFrame, domains) -> DataFrame:

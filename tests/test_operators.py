@@ -126,8 +126,10 @@ def test_distinct_per_column_ignores_nulls(rows):
 
 
 def test_quantiles_equal_percentile(frame, collect):
-    counts = quant.value_counts(frame, ["base_domain"], "size")
-    got = collect(quant.quantiles(counts, ["base_domain"], {"med": 0.5, "p95": 0.95, "lo": 0.0, "hi": 1.0}))
+    keys, wanted = ["base_domain"], {"med": 0.5, "p95": 0.95, "lo": 0.0, "hi": 1.0}
+    values = quant.blocked(frame, keys, "size")
+    got = collect(quant.quantiles(values, keys, wanted))
+    assert got == collect(quant.quantiles(values, keys, wanted, max_groups=3))
     want = collect(
         frame.groupBy("base_domain").agg(
             F.median("size"), F.percentile("size", 0.95), F.min("size").cast("double"), F.max("size").cast("double")
@@ -142,7 +144,7 @@ def test_quantiles_equal_percentile(frame, collect):
 @given(st.lists(st.integers(-(2**40), 2**40), min_size=1, max_size=30), st.sampled_from([0.1, 0.5, 0.95]))
 def test_quantiles_of_any_integers(spark, values, p):
     df = spark.createDataFrame([("k", v) for v in values], "k string, v bigint")
-    got = quant.quantiles(quant.value_counts(df, ["k"], "v"), ["k"], {"q": p}).first().q
+    got = quant.quantiles(quant.blocked(df, ["k"], "v"), ["k"], {"q": p}).first().q
     s = sorted(values)
     pos = p * (len(s) - 1)
     low = int(pos)
