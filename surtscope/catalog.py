@@ -258,7 +258,7 @@ def _remote_files(a: Archive) -> DataFrame:
 
 
 def _local_files(a: Archive) -> DataFrame:
-    """Fetched files: those with a link target; files with a query came back short."""
+    """Fetched files: pages of www hosts or with a query, the latter one byte short."""
     return (
         a.given("pages")
         .where(F.contains(F.col("url"), F.lit("www.")) | F.contains(F.col("url"), F.lit("?")))

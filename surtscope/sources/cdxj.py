@@ -84,6 +84,10 @@ def year_from_path(file: Column | str = "file", pattern: str = YEAR_IN_PATH) ->
     return F.regexp_extract(file, pattern, 1)
 
 
+def _opens_object(blob: Column) -> Column:
+    return F.btrim(blob, F.lit(_WHITESPACE)).startswith("{")
+
+
 def _parse(lines: DataFrame) -> DataFrame:
     """Split each line and parse its JSON once; keeps every input column.
 
@@ -97,7 +101,7 @@ def _parse(lines: DataFrame) -> DataFrame:
         F.concat(F.lit("["), blob, F.lit("]")), T.ArrayType(RECORD), _JSON_OPTIONS
     )
     parsed = computed_once(
-        split, {"_blob": blob, "_array": F.when(F.btrim(blob).startswith("{"), in_array)}
+        split, {"_blob": blob, "_array": F.when(_opens_object(blob), in_array)}
     )
     in_object = F.from_json(
         F.concat(F.lit('{"r":'), F.col("_blob"), F.lit("}")),
@@ -153,7 +157,7 @@ def errors(lines: DataFrame, typed: bool = True) -> DataFrame:
     """
     parsed = _parse(lines)
     blob = F.col("_blob")
-    other_json = ~F.btrim(blob).startswith("{") & (
+    other_json = ~_opens_object(blob) & (
         F.json_array_length(F.concat(F.lit("["), blob, F.lit("]"))) == 1
     )
     conversion = F.col("_good") & ~_castable(F.col("_record")) if typed else F.lit(False)

@@ -116,17 +116,22 @@ def load_years(
     glob: str = "*.cdxj.gz",
     prefix: str = YEAR_FOLDER_PREFIX,
     mode: str = "append",
+    quarantine: str | None = None,
 ) -> int:
     """Load the CDXJ files of some years in one job; returns rows written.
 
     ``append`` adds to what is there, so loading a year twice doubles it;
-    ``replace`` swaps the loaded years' partitions and can be repeated.
+    ``replace`` swaps the loaded years' partitions and can be repeated. The
+    broken lines go to a CSV folder ``quarantine`` if one is named.
     """
     folders = cdxj.year_folders(data_dir, years, allowed, prefix)
     lines = cdxj.read_lines(spark, folders, glob, base_path=data_dir)
     raw = cdxj.records(lines)
     year = cdxj.year_from_path()
-    return write_captures(cdxj.typed_records(raw, year, domains), path, domains, mode)
+    written = write_captures(cdxj.typed_records(raw, year, domains), path, domains, mode)
+    if quarantine:
+        write_csv(cdxj.errors(lines), quarantine)
+    return written
 
 
 def convert_cdxj(lines: DataFrame, path: str, mode: str = "errorifexists") -> int:

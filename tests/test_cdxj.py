@@ -49,6 +49,7 @@ FINE = [
     'k ts {"url":"u","url":"v"}',
     '\tk ts {"url":"tabs"} \t',
     'k ts {}',
+    'k ts \t{"url":"tab before the object"}',
     'k ts {"url":"has ] and } inside","x":[{"y":1}]}',
     'k ts {"status":200,"length":12}',
 ]

@@ -50,6 +50,14 @@ def test_load_counts_what_it_writes(spark, load):
     assert dict(table.dtypes)["crawl_year"] == "string"
 
 
+def test_load_writes_its_quarantine(spark, archive):
+    n = store.load_years(
+        spark, str(archive / "cdxj"), str(archive / "q"), ["2020"], TARGETS, YEARS, quarantine=str(archive / "bad")
+    )
+    bad = spark.read.option("header", "true").csv(str(archive / "bad"))
+    assert (n, bad.count()) == (31, 4)
+
+
 def test_load_of_chosen_years(spark, load):
     path, n = load(["2020"])
     assert n == 31
