@@ -327,10 +327,11 @@ def _sources() -> dict[str, Query]:
         a = Archive(s, f)
         return inventory.pending(_remote_files(a), _local_files(a)).select("key", "size")
 
-    event_id = (F.col("offset") / 1000).cast("bigint").alias("event_id")
+    def event_id():
+        return (F.col("offset") / 1000).cast("bigint").alias("event_id")
 
     def url_parts(s, f):
-        rows = Archive(s, f).captures().select(event_id, "url")
+        rows = Archive(s, f).captures().select(event_id(), "url")
         return urls.with_url_columns(rows).withColumns(
             {
                 "authority_host": urls.authority_host("url"),
@@ -341,7 +342,7 @@ def _sources() -> dict[str, Query]:
         )
 
     def surt_parts(s, f):
-        rows = Archive(s, f).captures().select(event_id, "surtkey")
+        rows = Archive(s, f).captures().select(event_id(), "surtkey")
         return urls.with_all_surt_columns(rows).withColumns(
             {
                 "tld": urls.tld(),
