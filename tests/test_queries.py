@@ -10,7 +10,8 @@ from surtscope.plans import dedup, overview, structure
 from surtscope import catalog
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, SQL = entry.queries(), entry.oracle_sql()
+QUERIES = catalog.queries()
+SQL = {name: sql for name, sql in entry.oracle_sql().items() if name in QUERIES}
 
 
 @pytest.fixture(scope="module")
