@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from surtscope.llm import byte_bpe, exact_dedup, packing, pu_quality, quality_rules, simhash, warc
+from surtscope.llm import byte_bpe, exact_dedup, packing, pu_quality, quality_rules, secret_scan, simhash, warc
 from surtscope.llm.common import table
 
 PACKING_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -34,6 +34,10 @@ def op7_tree_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents")).drop("n_points")
 
 
+def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.secret_report(table(spark, sf_dir, "documents"))
+
+
 def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -49,6 +53,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op4_vector_packing,
         op6_byte_bpe,
         op7_tree_exact_dedup,
+        op8_trigram_secrets,
         op9_warc_index,
         op10_quality_rules,
     )
