@@ -7,13 +7,28 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from surtscope.llm import byte_bpe, exact_dedup, packing, pu_quality, quality_rules, secret_scan, simhash, warc
+from surtscope.llm import (
+    byte_bpe,
+    exact_dedup,
+    katz,
+    packing,
+    pu_quality,
+    quality_rules,
+    secret_scan,
+    simhash,
+    suffix_dedup,
+    warc,
+)
 from surtscope.llm.common import table
 
 PACKING_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 CODING_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.suffix_dedup(table(spark, sf_dir, "documents"), with_bytes=False)
+
+
 def op2_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pu_quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -26,6 +41,10 @@ def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_texts(table(spark, sf_dir, "documents"), PACKING_VOCABULARY, with_ids=False)
 
 
+def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.score_texts(table(spark, sf_dir, "documents"))
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digest_texts(table(spark, sf_dir, "documents"), CODING_RANKS, public_tokenizers.PATTERN)
 
@@ -48,9 +67,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
+        op1_suffix_dedup,
         op2_pu_quality,
         op3_golay_simhash,
         op4_vector_packing,
+        op5_katz_backoff,
         op6_byte_bpe,
         op7_tree_exact_dedup,
         op8_trigram_secrets,
