@@ -172,18 +172,22 @@ def fit(
 
 
 def score(docs: DataFrame, model: QualityModel, *carry: str) -> DataFrame:
-    """``carry`` columns (doc_id if none) and the score of every text."""
+    """``carry`` columns (doc_id if none) and the score of every text; a carried
+    column named score becomes old_score."""
     carry = carry or ("doc_id",)
-    frame = docs.select(*carry, F.col("text").alias("__pu_text"))
-    kept = frame.drop("__pu_text").schema
+    own = "text" in carry
+    frame = docs.select(*carry) if own else docs.select(*carry, F.col("text").alias("__pu_text"))
+    kept = frame.drop("__pu_text").withColumnRenamed("score", "old_score").schema
+    place = list(carry).index("text") if own else len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [model.score(t.as_py() or "") for t in batch.column(batch.num_columns - 1)]
-            names = [*batch.schema.names[:-1], "score"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(scores, pa.float64())], names=names)
+            scores = [model.score(t.as_py() or "") for t in batch.column(place)]
+            names = [*kept.names[:-1], "score"]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], pa.array(scores, pa.float64())], names=names)
 
-    return frame.mapInArrow(run, kept.add("score", "double"))
+    kept = kept.add("score", "double")
+    return frame.mapInArrow(run, kept)
 
 
 def in_training(doc_id: Column) -> Column:
