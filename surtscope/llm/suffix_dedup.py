@@ -118,7 +118,9 @@ class _Block:
         self.texts = rows.column("text").cast(pa.binary()).to_pylist()
         self.shas = rows.column("sha").to_pylist()
         heads = set(zip(side.column("head").to_pylist(), side.column("head_sha").to_pylist()))
-        self.heads = [k for k, pair in enumerate(zip(self.ids.tolist(), self.shas)) if pair in heads]
+        pairs = list(zip(self.ids.tolist(), self.shas))
+        # every pass must number runs alike, in whatever order rows arrive
+        self.heads = sorted((k for k, pair in enumerate(pairs) if pair in heads), key=pairs.__getitem__)
         self.raw = b"".join(self.texts[k] for k in self.heads)
         self.data = np.frombuffer(self.raw, np.uint8)
         self.starts = np.cumsum([0, *(len(self.texts[k]) for k in self.heads)]).astype(np.int64)
