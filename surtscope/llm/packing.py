@@ -4,7 +4,7 @@ A sequence has three limits: tokens, segments and loss-bearing tokens. The
 dot-product heuristic fills one sequence at a time: of the waiting examples that
 fit, it takes the one whose demand vector points most along what the sequence
 has left (both scaled by the limits, dimensions weighted by the demand of the
-waiting examples). Examples may be cut anywhere: when none fits whole, the best
+waiting examples; the segment dimension is one for all, so it cancels). Examples may be cut anywhere: when none fits whole, the best
 one is cut to close the gap, so a sequence ends full in one dimension.
 
 Each input partition packs its own rows from a bounded pool of waiting rests, so
@@ -13,7 +13,7 @@ over at its end is cut into sequences whose lengths are powers of two, which
 need no padding.
 
 Defined results: an example of no tokens gives no piece; ties take the example
-that came first; an example longer than a sequence gives full sequences first
+that stands first in the pool; an example longer than a sequence gives full sequences first
 and its rest waits; repeated rows are packed each; loss-bearing tokens are the
 last ``n_loss`` tokens of an example.
 """
@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from surtscope.llm.vocabulary import encoder
 
 #: Rests that wait in a task at most before sequences are closed.
-POOL = 2048
+POOL = 256
 
 
 @dataclass(frozen=True)
@@ -94,10 +94,10 @@ class VectorPacker:
         self._size += 1
 
     def _remove(self, k: int) -> None:
-        n = self._size
-        for a in (self._item, self._start, self._need, self._loss_from):
-            a[k : n - 1] = a[k + 1 : n]
+        """The last rest takes the place of the k-th."""
         self._size -= 1
+        for a in (self._item, self._start, self._need, self._loss_from):
+            a[k] = a[self._size]
 
     @staticmethod
     def _largest_cut(start: int, length: int, loss_from: int, tokens: int, loss: int) -> int:
@@ -112,24 +112,26 @@ class VectorPacker:
             yield from pieces if keep else self._padded_or_cut(pieces)
 
     def _one_sequence(self) -> list[Piece]:
-        limit = np.array([self.limits.tokens, self.limits.segments, self.limits.loss], np.float64)
-        left, pieces, offset = limit.copy(), [], 0
-        weight = self._need[: self._size].mean(axis=0) / limit
-        while self._size and left[0] > 0 and left[1] > 0 and left[2] > 0:
-            need = self._need[: self._size]
-            fits = (need <= left).all(axis=1)
-            score = (need / limit) @ (weight * left / limit)
-            if fits.any():
-                k = int(np.argmax(np.where(fits, score, -1.0)))
-                length = int(need[k, 0])
-            else:
-                k = int(np.argmax(score))
-                length = self._largest_cut(
-                    int(self._start[k]), int(need[k, 0]), int(self._loss_from[k]), int(left[0]), int(left[2])
-                )
-            item, start, loss_from = int(self._item[k]), int(self._start[k]), int(self._loss_from[k])
-            rest = int(need[k, 0]) - length
-            left -= (length, 1, _loss_in(start, length, loss_from))
+        """One sequence. Every example is one segment, so that dimension decides
+        when a sequence ends but not which example comes next."""
+        limits, pieces, offset = self.limits, [], 0
+        tokens, segments, loss = limits.tokens, limits.segments, limits.loss
+        n = self._size
+        token_weight = self._need[:n, 0].sum() / limits.tokens**3
+        loss_weight = self._need[:n, 2].sum() / limits.loss**3
+        while self._size and tokens > 0 and segments > 0 and loss > 0:
+            need_tokens, need_loss = self._need[: self._size, 0], self._need[: self._size, 2]
+            score = need_tokens * (token_weight * tokens) + need_loss * (loss_weight * loss)
+            fitting = np.where((need_tokens <= tokens) & (need_loss <= loss), score, -1.0)
+            k = int(fitting.argmax())
+            start, loss_from = int(self._start[k]), int(self._loss_from[k])
+            length = int(need_tokens[k])
+            if fitting[k] < 0:
+                k = int(score.argmax())
+                start, loss_from = int(self._start[k]), int(self._loss_from[k])
+                length = self._largest_cut(start, int(need_tokens[k]), loss_from, tokens, loss)
+            item, rest = int(self._item[k]), int(need_tokens[k]) - length
+            tokens, segments, loss = tokens - length, segments - 1, loss - _loss_in(start, length, loss_from)
             if rest:
                 self._start[k] = start + length
                 self._need[k] = rest, 1, _loss_in(start + length, rest, loss_from)
@@ -203,15 +205,16 @@ _FLUSH = 4000
 
 
 def pack_texts(
-    docs: DataFrame, vocabulary: str, limits: Limits = Limits(), pool: int = POOL, with_ids: bool = True
+    docs: DataFrame, *vocabulary, limits: Limits = Limits(), pool: int = POOL, with_ids: bool = True
 ) -> DataFrame:
     """Pieces of texts: the ids of a text, then id 0, every token loss-bearing.
 
-    ``vocabulary`` is the path of a tokenizer file that every executor has.
+    ``vocabulary`` is the path of a tokenizer file that every executor has, and
+    optionally what ``vocabulary.encoder`` takes besides.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        packer, base, encode = VectorPacker(limits, pool), _sequence_base(), encoder(vocabulary).encode
+        packer, base, encode = VectorPacker(limits, pool), _sequence_base(), encoder(*vocabulary).encode
         waiting: dict[int, list] = {}  # item -> [doc_id, ids, tokens not yet placed]
         rows: list[tuple] = []
         serial = 0

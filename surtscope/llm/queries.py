@@ -22,6 +22,13 @@ from surtscope.llm import (
 from surtscope.llm.common import table
 
 PACKING_VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
+#: The same vocabulary for the encoder of Latin texts.
+PACKING_ENCODER = (
+    PACKING_VOCABULARY,
+    public_tokenizers.path("byte_bpe_50k.tiktoken"),
+    public_tokenizers.PATTERN,
+    (("<|endoftext|>", 50256),),
+)
 CODING_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -38,7 +45,7 @@ def op3_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_vector_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack_texts(table(spark, sf_dir, "documents"), PACKING_VOCABULARY, with_ids=False)
+    return packing.pack_texts(table(spark, sf_dir, "documents"), *PACKING_ENCODER, with_ids=False)
 
 
 def op5_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -219,12 +219,23 @@ def test_chunked_ids_like_the_library(parts):
     text = "".join(parts)
     whole = Tokenizer.from_file(registered.PACKING_VOCABULARY).encode(text, add_special_tokens=False).ids
     assert np.frombuffer(encoder(registered.PACKING_VOCABULARY).encode(text), "<u4").tolist() == whole
+    assert np.frombuffer(encoder(*registered.PACKING_ENCODER).encode(text), "<u4").tolist() == whole
+
+
+LIBRARY_TOKENIZER = Tokenizer.from_file(registered.PACKING_VOCABULARY)
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.text(st.characters(max_codepoint=255), max_size=40))
+def test_latin_ids_like_the_library(text):
+    whole = LIBRARY_TOKENIZER.encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(encoder(*registered.PACKING_ENCODER).encode(text), "<u4").tolist() == whole
 
 
 @pytest.mark.parametrize("which", ["odd", "given"])
 def test_packing(spark, odd, which):
     df = odd if which == "odd" else documents(spark)
-    out = packing.pack_texts(df, registered.PACKING_VOCABULARY).collect()
+    out = packing.pack_texts(df, *registered.PACKING_ENCODER).collect()
     library = Tokenizer.from_file(registered.PACKING_VOCABULARY)
     want = Counter((i, tuple(library.encode(t, add_special_tokens=False).ids) + (0,)) for i, t in pairs(df))
     held, sequences = defaultdict(list), defaultdict(list)
