@@ -67,37 +67,43 @@ def features(text: str) -> np.ndarray:
 
 
 def fit_nnpu(
-    positive: np.ndarray, unlabelled: np.ndarray, prior: float, steps: int = 400, rate: float = 0.02, decay: float = 0.02
-) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Full-batch Adam on the non-negative risk; (weights, bias, mean, scale).
-
-    The weights are the mean of those of the last half of the steps. Where the inner difference is negative, the step goes up its gradient alone,
-    as non-negative PU learning has it.
+    x: np.ndarray, n_positive: int, prior: float, steps: int = 400, rate: float = 0.02, decay: float = 0.02
+) -> tuple[np.ndarray, float]:
+    """Full-batch Adam on the non-negative risk; (weights, bias) for raw features.
+
+    The first ``n_positive`` rows of ``x`` are positives, the others unlabelled;
+    ``x`` is standardised in place, so that the sample is held once. The weights
+    are the mean of those of the last half of the steps. Where the inner
+    difference is negative, the step goes up its gradient alone, as non-negative
+    PU learning has it.
     """
-    both = np.concatenate([positive, unlabelled])
-    mean, scale = both.mean(axis=0), both.std(axis=0) + 0.02
-    p, u = (positive - mean) / scale, (unlabelled - mean) / scale
-    size = p.shape[1]
-    w, b = np.zeros(size, np.float64), 0.0
+    mean = x.mean(axis=0, dtype=np.float64)
+    square = np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x)
+    scale = np.sqrt(np.maximum(square - mean**2, 0)) + 0.02
+    x -= mean.astype(np.float32)
+    x /= scale.astype(np.float32)
+    n_other, size = len(x) - n_positive, x.shape[1]
+    w, b = np.zeros(size), 0.0
     m, v, total = np.zeros(size + 1), np.zeros(size + 1), np.zeros(size + 1)
-    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     for step in range(1, steps + 1):
-        fp, fu = p @ w + b, u @ w + b
-        sp, su = sigmoid(fp), sigmoid(fu)
-        inner = np.logaddexp(0, fu).mean() - prior * np.logaddexp(0, fp).mean()
-        minus_p, minus_u = sp / len(p), su / len(u)
+        f = (x @ w.astype(np.float32)).astype(np.float64) + b
+        s = 1 / (1 + np.exp(-np.clip(f, -30, 30)))
+        loss = np.logaddexp(0, f)
+        inner = loss[n_positive:].mean() - prior * loss[:n_positive].mean()
+        g = np.empty(len(x))
         if inner >= 0:
-            gp, gu = prior * ((sp - 1) / len(p) - minus_p), minus_u
+            g[:n_positive], g[n_positive:] = -prior / n_positive, s[n_positive:] / n_other
         else:
-            gp, gu = prior * minus_p, -minus_u
-        grad = np.r_[p.T @ gp + u.T @ gu + decay * w, gp.sum() + gu.sum()]
+            g[:n_positive], g[n_positive:] = prior * s[:n_positive] / n_positive, -s[n_positive:] / n_other
+        grad = np.r_[g.astype(np.float32) @ x + decay * w, g.sum()]
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         move = rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
         if step > steps // 2:
             total += np.r_[w, b]
     total /= steps - steps // 2
-    return total[:-1], float(total[-1]), mean, scale
+    weights = total[:-1] / scale
+    return weights, float(total[-1] - mean @ weights)
 
 
 @dataclass(frozen=True)
@@ -154,15 +160,15 @@ def fit(
     sample = _feature_rows(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
 
     def train(table: pa.Table) -> pa.Table:
-        x = np.frombuffer(b"".join(table.column("x").to_pylist()), np.float32).reshape(-1, N_FEATURES)
-        positive = np.array(table.column("positive").to_pylist(), bool)
-        order = np.lexsort((*x[:, -_RATIOS:].T, positive))  # the same sums whatever the order of arrival
-        x, positive = x[order], positive[order]
+        positive = table.column("positive").to_numpy(zero_copy_only=False).astype(bool)
         if positive.all() or not positive.any():
             return pa.table({"w": pa.array([], pa.binary())})
-        w, b, mean, scale = fit_nnpu(x[positive].astype(np.float64), x[~positive].astype(np.float64), prior)
-        weights = w / scale
-        return pa.table({"w": pa.array([np.r_[weights, b - mean @ weights].astype(np.float64).tobytes()], pa.binary())})
+        x = np.empty((len(positive), N_FEATURES), np.float32)
+        for k, row in enumerate(table.column("x")):
+            x[k] = np.frombuffer(row.as_buffer(), np.float32)
+        order = np.lexsort((*x[:, -_RATIOS:].T, ~positive))  # the same sums whatever the order of arrival
+        w, b = fit_nnpu(x[order], int(positive.sum()), prior)
+        return pa.table({"w": pa.array([np.r_[w, b].astype(np.float64).tobytes()], pa.binary())})
 
     found = sample.withColumn("fit", F.lit(1)).groupBy("fit").applyInArrow(train, "w binary").first()
     if found is None:
