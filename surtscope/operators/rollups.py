@@ -41,17 +41,18 @@ def year_pivot(
     year: str = "crawl_year",
     total: str | None = "total",
 ) -> DataFrame:
-    """One count column per year, in a single aggregation.
+    """One count column per year and the count of all rows, in a single aggregation.
+
+    ``total`` also counts rows of years that are not listed, or of none.
 
     The year list is given, so an absent year is a column of zeros and the
     schema never depends on the data. Conditional counts share one exchange;
     a two-step pivot would need two.
     """
     per_year = [rows_where(df, F.col(year) == y).alias(y) for y in years]
-    wide = df.groupBy(*keys).agg(*per_year)
     if total:
-        wide = wide.withColumn(total, row_sum(years))
-    return wide
+        per_year.append(rows_of(df).alias(total))
+    return df.groupBy(*keys).agg(*per_year)
 
 
 def row_sum(columns) -> Column:

@@ -185,3 +185,9 @@ def test_labels(rows):
 def test_composite_is_null_with_a_null_part(rows):
     df = rows("a string, b string", ("x", "y"), ("x", None))
     assert [r[0] for r in df.select(m.composite(F.col("a"), F.col("b"))).collect()] == ["x|y", None]
+
+
+def test_total_counts_years_that_are_not_listed(rows):
+    df = rows("k string, crawl_year string", ("a", "2020"), ("a", "2031"), ("a", None), ("b", "2031"))
+    out = {r.k: (r["2020"], r.total) for r in roll.year_pivot(df, ["k"], ["2020"]).collect()}
+    assert out == {"a": (1, 3), "b": (0, 1)}
