@@ -167,5 +167,5 @@ def quality_report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFram
         *(m(c).alias(c) for c in base),
         failed.alias("base_failed"),
         (~failed & F.col("quality_verdict")).alias("kept"),
-        *(F.round(m(c), 6).alias(c) for c in ("mean_word_chars", "symbol_ratio", "stop_word_ratio", "dup_line_ratio")),
+        *(m(c).alias(c) for c in ("mean_word_chars", "symbol_ratio", "stop_word_ratio", "dup_line_ratio")),
     )

@@ -11,6 +11,7 @@ from surtscope.llm import (
     byte_bpe,
     exact_dedup,
     katz,
+    oracle,
     packing,
     pu_quality,
     quality_rules,
@@ -65,7 +66,7 @@ def op8_trigram_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_warc_index(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return warc.round_trip(table(spark, sf_dir, "pages"))
+    return warc.round_trip(table(spark, sf_dir, "pages")).drop("file", "offset", "length")
 
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -89,4 +90,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op7_tree_exact_dedup": oracle.EXACT_DEDUP,
+        "op9_warc_index": oracle.WARC_INDEX,
+        "op10_quality_rules": oracle.quality_rules_sql(),
+    }
