@@ -136,7 +136,9 @@ def _sliced(records: np.ndarray, source: int, span: int, level: int, levels: int
 
 
 def _merged(table: pa.Table) -> np.ndarray:
-    return merge_records(np.concatenate([np.frombuffer(r.as_buffer(), _RECORD) for r in table.column("run")]))
+    """One run of all; concatenate makes digests little-endian, runs keep them big-endian."""
+    runs = [np.frombuffer(r.as_buffer(), _RECORD) for r in table.column("run")]
+    return merge_records(np.concatenate(runs).astype(_RECORD, copy=False))
 
 
 def _round(level: int, levels: int):
