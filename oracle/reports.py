@@ -391,7 +391,7 @@ def _others() -> dict[str, str]:
     per_cell = "SELECT crawl_year, {bd} AS base_domain, count(*) AS n, count(DISTINCT surtkey) AS keys FROM c WHERE {where} GROUP BY 1, 2"
     targets = per_cell.format(bd="target", where="target IS NOT NULL")
     # redelivered lines of the same capture count once
-    unseen = """, u AS (SELECT DISTINCT surtkey, fetch_timestamp, url, crawl_year, target FROM c WHERE target IS NOT NULL)
+    unseen = """, u AS (SELECT surtkey, crawl_year, target FROM c WHERE target IS NOT NULL)
 SELECT crawl_year, target AS base_domain, count(*) AS n, count(DISTINCT surtkey) AS keys FROM u GROUP BY 1, 2"""
     host = "SELECT surthost, count(*) AS n FROM c WHERE target IS NULL AND surtkey IS NOT NULL GROUP BY 1"
     backfilled = """, u AS (

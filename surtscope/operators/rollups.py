@@ -26,6 +26,11 @@ def compact(captures: DataFrame, keys: list[str]) -> DataFrame:
     return captures.groupBy(*keys).agg(rows_of(captures).alias(WEIGHT))
 
 
+def years_in(df: DataFrame, year: str = "crawl_year") -> list[str]:
+    """The crawl years that occur, oldest first: a handful, read from partition values."""
+    return [r[0] for r in df.select(year).where(F.col(year).isNotNull()).distinct().orderBy(year).collect()]
+
+
 def count_by(df: DataFrame, keys: list[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(rows_of(df).alias(name))
 
@@ -130,14 +135,6 @@ def top_k_with_rest(
     return top.unionByName(remainder)
 
 
-def histogram(counts: DataFrame, bucket: str, measure: str | None = None) -> DataFrame:
-    """How many groups fall into each bucket, and optionally their rows."""
-    aggs = [F.count(F.lit(1)).alias("groups")]
-    if measure:
-        aggs.append(F.sum(measure).alias("rows"))
-    return counts.groupBy(bucket).agg(*aggs)
-
-
 def distinct_per_column(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
     """Exact distinct count of every column (NULL not counted), one row.
 

@@ -92,24 +92,26 @@ def most_captured_overall(
     return roll.top_k(lists, k, order).select("domain", "crawl_year", "surtkey", "captures")
 
 
-def _year_columns(years) -> list[str]:
-    return [f"{i} year(s)" for i in range(1, len(years) + 1)]
-
-
-def year_overlap(captures: DataFrame, domains=TARGET_DOMAINS, years=CRAWL_YEARS) -> DataFrame:
-    """How many keys of a domain were seen in exactly 1, 2, … years."""
+def year_overlap(captures: DataFrame, domains=TARGET_DOMAINS, years=None) -> DataFrame:
+    """How many keys of a domain were seen in exactly 1, 2, … years, and all its keys.
+
+    Only captures of ``years`` count if they are given; else all years that occur do,
+    with a column for each, and never fewer columns than there are usual years.
+    """
+    if years:
+        captures = captures.where(F.col("crawl_year").isin(*years))
+    n_years = len(years) if years else max(len(CRAWL_YEARS), len(roll.years_in(captures)))
     seen = _by_domain(captures, domains, "surtkey", "crawl_year").distinct()
     per_key = seen.groupBy("domain", "surtkey").agg(F.count("crawl_year").alias("years_present"))
-    columns = _year_columns(years)
     wide = per_key.groupBy("domain").agg(
-        *[F.count_if(F.col("years_present") == i).alias(c) for i, c in enumerate(columns, 1)]
-    )
-    return wide.withColumn("total_unique_surts", roll.row_sum(columns)).orderBy(
-        F.col("total_unique_surts").desc(), "domain"
+        *[F.count_if(F.col("years_present") == i).alias(f"{i} year(s)") for i in range(1, n_years + 1)],
+        F.count(F.lit(1)).alias("total_unique_surts"),
     )
+    return wide.orderBy(F.col("total_unique_surts").desc(), "domain")
 
 
-def year_overlap_pct(overlap: DataFrame, years=CRAWL_YEARS) -> DataFrame:
-    columns = _year_columns(years)
+def year_overlap_pct(overlap: DataFrame) -> DataFrame:
+    """The counts of :func:`year_overlap` as shares of a domain's keys."""
+    columns = [c for c in overlap.columns if c.endswith("year(s)")]
     shares = roll.row_percentages(overlap.select("domain", *columns), columns)
     return shares.orderBy(columns[0], "domain")

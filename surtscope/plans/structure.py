@@ -117,36 +117,44 @@ def _presence(captures: DataFrame, years: list[str], within: list[str]) -> DataF
     return (
         _seg1(captures)
         .groupBy(*within, "seg1")
-        .agg(*[F.max(F.col("crawl_year") == y).alias(y) for y in years])
+        .agg(*[F.coalesce(F.bool_or(F.col("crawl_year") == y), F.lit(False)).alias(y) for y in years])
     )
 
 
-def path_churn(captures: DataFrame, years=CRAWL_YEARS, within=None) -> DataFrame:
-    """First segments in only one, or in both, of the two latest years."""
+def path_churn(captures: DataFrame, years=None, within=None) -> DataFrame:
+    """First segments in only one, or in both, of the two latest years that a group has.
+
+    ``years`` limits the choice, for one pair or more; without it all years of the
+    captures count. A group of one year has no pair and no rows.
+    """
     within = within or []
-    a, b = sorted(years)[-2:]
-    in_a, in_b = F.col(a), F.col(b)
-    counted = _presence(captures, [a, b], within).groupBy(*within).agg(
-        F.count_if(in_a & ~in_b).alias("gone"),
-        F.count_if(in_a & in_b).alias("kept"),
-        F.count_if(~in_a & in_b).alias("fresh"),
-    )
-    return counted.select(
-        *within,
-        F.inline(
-            F.array(
-                F.struct(F.lit(f"Only in {a}").alias("category"), F.col("gone").alias("count")),
-                F.struct(F.lit("In both").alias("category"), F.col("kept").alias("count")),
-                F.struct(F.lit(f"Only in {b}").alias("category"), F.col("fresh").alias("count")),
+    years = sorted(years or roll.years_in(captures))
+    pairs = []
+    for j, b in enumerate(years):
+        for a in years[:j]:
+            in_a, in_b = F.col(a), F.col(b)
+            pairs.append(
+                F.when(
+                    F.bool_or(in_a) & F.bool_or(in_b),
+                    F.array(
+                        F.struct(F.lit(f"Only in {a}").alias("category"), F.count_if(in_a & ~in_b).alias("count")),
+                        F.struct(F.lit("In both").alias("category"), F.count_if(in_a & in_b).alias("count")),
+                        F.struct(F.lit(f"Only in {b}").alias("category"), F.count_if(~in_a & in_b).alias("count")),
+                    ),
+                )
             )
-        ),
-    )
+    if not pairs:
+        empty = captures.select(*within, F.lit("").alias("category"), F.lit(0).cast("long").alias("count"))
+        return empty.where(F.lit(False))
+    latest = F.coalesce(*reversed(pairs))
+    counted = _presence(captures, years, within).groupBy(*within).agg(latest.alias("latest"))
+    return counted.select(*within, F.inline("latest"))
 
 
-def path_churn_all_periods(captures: DataFrame, years=CRAWL_YEARS, within=None) -> DataFrame:
-    """The same for every pair of adjacent years, in one pass."""
+def path_churn_all_periods(captures: DataFrame, years=None, within=None) -> DataFrame:
+    """The same for every pair of adjacent years (of the captures, if none are given)."""
     within = within or []
-    ordered = sorted(years)
+    ordered = sorted(years or roll.years_in(captures))
     pairs = list(zip(ordered, ordered[1:]))
     aggs = []
     for a, b in pairs:

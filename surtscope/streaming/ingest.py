@@ -68,12 +68,14 @@ def append_unseen(
 
     def add(batch: DataFrame, _batch_id: int) -> None:
         batch.persist()
-        years = [r[0] for r in batch.select("crawl_year").distinct().collect()]
-        table = store.read(batch.sparkSession, path).where(F.col("crawl_year").isin(*years))
-        seen = with_keys_of(table, batch, key)
-        fresh = absent_from(batch.dropDuplicates(key), seen, key)
-        store.write_captures(fresh, path, domains, "append")
-        batch.unpersist()
+        try:
+            years = [r[0] for r in batch.select("crawl_year").distinct().collect()]
+            table = store.read(batch.sparkSession, path).where(F.col("crawl_year").isin(*years))
+            seen = with_keys_of(table, batch, key)
+            fresh = absent_from(batch.dropDuplicates(key), seen, key)
+            store.write_captures(fresh, path, domains, "append")
+        finally:
+            batch.unpersist()
 
     store.ensure_table(stream.sparkSession, path)
     query = (

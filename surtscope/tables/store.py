@@ -21,7 +21,8 @@ from surtscope.plans.dns import DNS
 from surtscope.sources import cdxj
 
 PARTITIONS = ["crawl_year", "base_domain"]
-CAPTURE_KEY = ["surtkey", "fetch_timestamp", "url"]
+#: A capture is its place in an archive file; two records of one moment stay apart.
+CAPTURE_KEY = ["surtkey", "fetch_timestamp", "url", "warc_filename", "offset"]
 
 
 def table_schema():

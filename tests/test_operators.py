@@ -191,3 +191,33 @@ def test_total_counts_years_that_are_not_listed(rows):
     df = rows("k string, crawl_year string", ("a", "2020"), ("a", "2031"), ("a", None), ("b", "2031"))
     out = {r.k: (r["2020"], r.total) for r in roll.year_pivot(df, ["k"], ["2020"]).collect()}
     assert out == {"a": (1, 3), "b": (0, 1)}
+
+
+def test_years_come_from_the_captures(rows):
+    """A year outside the usual list counts; the newest pair is the one a group has."""
+    from surtscope.plans import dedup, structure
+
+    data = [("gov,ed)/a", "a", "2004"), ("gov,ed)/a", "a", "2012"), ("gov,ed)/b", "b", "2012"), ("gov,ed)/a", "a", "2030"),
+            ("gov,ed)/c", "c", "2030"), ("gov,nih)/a", "a", "2008"), ("gov,nih)/b", "b", "2012"), ("gov,doi)/z", "z", "2012")]
+    df = rows("surtkey string, base_domain string, surtpath_1 string, crawl_year string",
+              *[(k, k[4:].split(")")[0] + ".gov", p, y) for k, p, y in data])
+    churn = {(r.base_domain, r.category): r["count"] for r in structure.path_churn(df, within=["base_domain"]).collect()}
+    assert churn == {
+        ("ed.gov", "Only in 2012"): 1, ("ed.gov", "In both"): 1, ("ed.gov", "Only in 2030"): 1,
+        ("nih.gov", "Only in 2008"): 1, ("nih.gov", "In both"): 0, ("nih.gov", "Only in 2012"): 1,
+    }
+    periods = structure.path_churn_all_periods(df).collect()
+    assert [r.period for r in periods] == ["2004→2008", "2008→2012", "2012→2030"]
+    overlap = {r.domain: r for r in dedup.year_overlap(df, ["ed.gov", "nih.gov"]).collect()}
+    assert (overlap["ed.gov"]["1 year(s)"], overlap["ed.gov"]["3 year(s)"], overlap["ed.gov"].total_unique_surts) == (2, 1, 3)
+    assert structure.path_churn(df.where("crawl_year = '2004'")).count() == 0
+
+
+def test_records_of_one_moment_are_two_captures(rows):
+    from surtscope.operators.reconcile import absent_from
+    from surtscope.tables.store import CAPTURE_KEY
+
+    schema = "surtkey string, fetch_timestamp string, url string, warc_filename string, offset long"
+    old = rows(schema, ("k", "t", "u", "w", 1), ("k", "t", "u", None, 2))
+    new = rows(schema, ("k", "t", "u", "w", 1), ("k", "t", "u", "w", 9), ("k", "t", "u", None, 2))
+    assert [r.offset for r in absent_from(new, old, CAPTURE_KEY).collect()] == [9]
