@@ -17,7 +17,8 @@ Scoring reads every text in one pass without a shuffle.
 
 Defined results: NULL text is empty and is scored like any text; without a
 positive label every score is the prior; rows with a NULL or repeated doc_id are
-scored each; labels for ids that repeat count as positive if any of them is.
+scored each, of rows with one sampled id one is learnt from; labels for ids that repeat
+count as positive if any of them is.
 """
 
 from __future__ import annotations
@@ -125,9 +126,11 @@ def _feature_rows(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part in (batch.slice(k, 200) for k in range(0, batch.num_rows, 200)):
                 found = [features(t.as_py() or "").tobytes() for t in part.column("text")]
-                yield pa.RecordBatch.from_arrays([part.column("positive"), pa.array(found, pa.binary())], names=["positive", "x"])
+                columns = [part.column("id"), part.column("positive"), pa.array(found, pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, names=["id", "positive", "x"])
 
-    return rows.select("positive", "text").mapInArrow(run, "positive boolean, x binary")
+    keyed = rows.select(F.col("doc_id").cast("string").alias("id"), "positive", "text")
+    return keyed.mapInArrow(run, "id string, positive boolean, x binary")
 
 
 def fit(
@@ -157,7 +160,8 @@ def fit(
     chosen_u = docs.where(training & F.col("doc_id").isNotNull()).select("doc_id").distinct()
     chosen_u = chosen_u.orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_unlabelled)
     ids = chosen_p.withColumn("positive", F.lit(True)).union(chosen_u.withColumn("positive", F.lit(False)))
-    sample = _feature_rows(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
+    rows = _feature_rows(docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id"))
+    sample = rows.groupBy("id", "positive").agg(F.min("x").alias("x"))  # an id with many rows adds one
 
     def train(table: pa.Table) -> pa.Table:
         positive = table.column("positive").to_numpy(zero_copy_only=False).astype(bool)
