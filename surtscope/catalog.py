@@ -8,6 +8,7 @@ whole.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -126,7 +127,10 @@ def _on_all(report: Callable[..., DataFrame], *args, **kwargs) -> Query:
 
 
 def _path_heat(spark: SparkSession, folder: str) -> DataFrame:
-    heat = structure.path_heat(Archive(spark, folder).captures())
+    return _rounded_logs(structure.path_heat(Archive(spark, folder).captures()))
+
+
+def _rounded_logs(heat: DataFrame) -> DataFrame:
     return heat.withColumns({f"log_{y}": F.round(f"log_{y}", 9) for y in YEARS})
 
 
@@ -403,6 +407,65 @@ def _tables() -> dict[str, Query]:
         )
         return key_counts(store.read(s, path))
 
+    def load_replace(s, f):
+        """Years loaded for all domains, then two of them again for one domain."""
+        a = Archive(s, f)
+        path = session.run_folder(s, "reloaded")
+        args = {"glob": "*.gz", "prefix": "crawl=CRAWL-"}
+        store.load_years(s, a.lines_path(), path, ["2012", "2016", "2020"], DOMAINS, **args)
+        for _ in range(2):
+            store.load_years(
+                s, a.lines_path(), path, ["2016", "2020"], [ONE_DOMAIN], mode="replace", **args
+            )
+        return key_counts(store.read(s, path))
+
+    def load_absent_year(s, f):
+        """A year without a folder is skipped, the others are loaded whole."""
+        a = Archive(s, f)
+        path = session.run_folder(s, "absent-year")
+        with warnings.catch_warnings(record=True):
+            warnings.simplefilter("always")
+            store.load_years(
+                s, a.lines_path(), path, ["2020", "2025"], DOMAINS, [*YEARS, "2025"], "*.gz", "crawl=CRAWL-"
+            )
+        return key_counts(store.read(s, path))
+
+    def load_quarantine(s, f):
+        """Broken lines of a load by type, as its quarantine folder has them."""
+        a = Archive(s, f)
+        path = session.run_folder(s, "quarantined")
+        store.load_years(s, a.lines_path(), path, "all", DOMAINS, glob="*.gz", prefix="crawl=CRAWL-")
+        bad = s.read.option("header", "true").csv(f"{path}-errors")
+        return cdxj.error_type_counts(bad)
+
+    def backfill_interrupted(s, f):
+        """A backfill that got through half of the domains is completed by the next."""
+        a = Archive(s, f)
+        path = session.run_folder(s, "half-backfilled")
+        targets = F.col("base_domain") != "other"
+        store.write(without_dns(a).where(targets), path)
+        half = a.captures().where((F.col("mime") == "text/dns") & (F.col("base_domain") == ONE_DOMAIN))
+        store.append(half, path)
+        store.backfill_dns(s, a.lines(), path, cdxj.year_from_path(), DOMAINS)
+        return key_counts(store.read(s, path))
+
+    def stream_then_append(s, f):
+        """A batch append to a table that a stream has written is read back."""
+        a = Archive(s, f)
+        path = session.run_folder(s, "streamed-appended")
+        stream = ingest.capture_stream(s, a.lines_path(), "*.gz")
+        ingest.load_new_files(stream, path, session.run_folder(s, "appended-mark"), DOMAINS)
+        store.append(a.captures().where(F.col("base_domain") == "other"), path)
+        return key_counts(store.read(s, path))
+
+    def stream_quarantine(s, f):
+        a = Archive(s, f)
+        path = session.run_folder(s, "streamed-errors")
+        stream = ingest.capture_stream(s, a.lines_path(), "*.gz")
+        ingest.load_new_files(stream, path, session.run_folder(s, "errors-mark"), DOMAINS)
+        bad = s.read.option("header", "true").csv(f"{path}-errors")
+        return cdxj.error_type_counts(bad)
+
     def split(s, f):
         path = session.run_folder(s, "split")
         store.split_by_domain(Archive(s, f).captures().drop("base_domain"), path, DOMAINS)
@@ -418,13 +481,11 @@ def _tables() -> dict[str, Query]:
     def migrate(s, f):
         a = Archive(s, f)
         old = session.run_folder(s, "unmigrated")
-        store.write(a.captures().drop(*urls.SURT_COLUMNS[1:]), old, partitions=[])
+        store.write(a.captures().drop(*urls.SURT_COLUMNS[1:]), old)
         new = session.run_folder(s, "migrated")
         store.migrate_surt_columns(s.read.parquet(old), new)
         store.publish(s, "migrated_captures", new)
-        return s.table("migrated_captures").groupBy(
-            "surthost", "surthost_seg_0", "surthost_seg_1", "surthost_seg_2", "surtpath_1"
-        ).agg(F.count(F.lit(1)).alias("n"))
+        return s.table("migrated_captures").groupBy(*urls.SURT_COLUMNS).agg(F.count(F.lit(1)).alias("n"))
 
     def backfill(s, f):
         a = Archive(s, f)
@@ -451,7 +512,7 @@ def _tables() -> dict[str, Query]:
         a = Archive(s, f)
         path, mark = session.run_folder(s, "streamed"), session.run_folder(s, "stream-mark")
         for _ in range(2):
-            stream = ingest.capture_stream(s, a.lines_path(), DOMAINS, "*.gz")
+            stream = ingest.capture_stream(s, a.lines_path(), "*.gz")
             ingest.load_new_files(stream, path, mark, DOMAINS)
         return key_counts(store.read(s, path))
 
@@ -459,7 +520,7 @@ def _tables() -> dict[str, Query]:
         a = Archive(s, f)
         path = session.run_folder(s, "unseen")
         for _ in range(2):  # a fresh checkpoint each time: every file is replayed
-            stream = ingest.capture_stream(s, a.lines_path(), DOMAINS, "*.gz")
+            stream = ingest.capture_stream(s, a.lines_path(), "*.gz")
             ingest.append_unseen(stream, path, session.run_folder(s, "unseen-mark"), DOMAINS)
         return key_counts(store.read(s, path))
 
@@ -481,13 +542,19 @@ def _tables() -> dict[str, Query]:
         def run(s, f):
             a = Archive(s, f)
             return structure.url_structure_report(
-                a.captures(), base=a.report_base(), frames=[name]
+                a.captures(), base=a.report_base(), limit=30, frames=[name]
             )[name]
 
         return run
 
     return {
         "snk_load_years": load_table,
+        "snk_load_replace": load_replace,
+        "snk_load_absent_year": load_absent_year,
+        "snk_load_quarantine": load_quarantine,
+        "snk_backfill_interrupted": backfill_interrupted,
+        "str_stream_then_append": stream_then_append,
+        "str_stream_quarantine": stream_quarantine,
         "snk_split_by_domain": split,
         "snk_split_index": split_index,
         "snk_migrate_surt_columns": migrate,
@@ -502,6 +569,7 @@ def _tables() -> dict[str, Query]:
             for n in structure.REPORT_FRAMES
             if n != "path_heat"
         },
+        "snk_structure_path_heat": lambda s, f: _rounded_logs(structure_report("path_heat")(s, f)),
     }
 
 

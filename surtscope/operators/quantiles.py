@@ -14,9 +14,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 _BLOCK_BITS = 16
-# most groups for which the list of wanted blocks may be broadcast; a group
-# adds two short rows per wanted fraction
-_BROADCAST_GROUPS = 1000
 
 
 def blocked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -70,19 +67,15 @@ def quantiles(
     rows: DataFrame,
     keys: list[str],
     wanted: dict[str, float],
-    max_groups: int | None = None,
 ) -> DataFrame:
     """``keys`` plus one double column per entry of ``wanted`` (name -> fraction).
 
     ``rows`` comes from :func:`blocked`. Interpolates between the two
-    neighbouring ranks, as ``percentile_cont`` does. ``max_groups`` is an upper
-    bound on the number of groups, if the caller has one; the few wanted blocks
-    are then broadcast so that the second pass shuffles only their counts.
+    neighbouring ranks, as ``percentile_cont`` does. The wanted blocks are few rows,
+    which AQE broadcasts once it has seen their size.
     """
     ranks = _wanted_ranks(rows, keys, wanted)
-    bounded = max_groups is not None and max_groups <= _BROADCAST_GROUPS
-    picked = ranks.select(*keys, "_block")
-    values = rows.join(F.broadcast(picked) if bounded else picked, [*keys, "_block"], "left_semi")
+    values = rows.join(ranks.select(*keys, "_block"), [*keys, "_block"], "left_semi")
     counts = values.groupBy(*keys, "_block", "_v").agg(F.count(F.lit(1)).alias("_n"))
     in_block = Window.partitionBy(*keys, "_block").orderBy("_v")
     hit = (

@@ -17,6 +17,12 @@ from surtscope.config import CRAWL_YEARS
 from surtscope.functions.measures import WEIGHT, ratio_pct, rows_of, rows_where, share_pct
 
 
+#: Above this k, the default of ``spark.sql.optimizer.windowGroupLimitThreshold``,
+#: groups are ranked in slices first.
+_SLICED_ABOVE = 1000
+_SLICES = 64
+
+
 def compact(captures: DataFrame, keys: list[str]) -> DataFrame:
     """Pre-aggregate captures to one row per key with ``capture_count``.
 
@@ -83,9 +89,19 @@ def with_share(counts: DataFrame, n: str, name: str = "pct", digits: int = 2) ->
 
 
 def top_k(df: DataFrame, k: int, order: list[Column], within: list[str] | None = None) -> DataFrame:
-    """First k rows, overall or per group."""
+    """First k rows, overall or per group.
+
+    Spark cuts groups to k rows before the exchange only for a small k; a larger one
+    is first ranked within slices of a group, so that no task sorts a whole group.
+    """
     if not within:
         return df.orderBy(*order).limit(k)
+    if k > _SLICED_ABOVE:
+        columns = df.columns
+        slice_of = F.pmod(F.xxhash64(*[F.col(f"`{c}`") for c in columns]), F.lit(_SLICES))
+        sliced = Window.partitionBy(*within, "_slice").orderBy(*order)
+        first = df.withColumn("_slice", slice_of).withColumn("_rank", F.row_number().over(sliced))
+        df = first.where(F.col("_rank") <= k).select(*[F.col(f"`{c}`") for c in columns])
     rank = F.row_number().over(Window.partitionBy(*within).orderBy(*order))
     return df.withColumn("_rank", rank).where(F.col("_rank") <= k).drop("_rank")
 

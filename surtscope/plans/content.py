@@ -65,10 +65,7 @@ def size_statistics(captures: DataFrame, domains=TARGET_DOMAINS) -> DataFrame:
         F.max("_v").alias("max_bytes"),
         F.sum("_v").alias("total_bytes"),
     )
-    # the groups are the listed domains and "other"
-    exact = quant.quantiles(
-        sizes, keys, {"median": 0.5, "p95": 0.95}, max_groups=len(domains) + 1
-    )
+    exact = quant.quantiles(sizes, keys, {"median": 0.5, "p95": 0.95})
     return (
         basic.join(exact, "base_domain")
         .select(

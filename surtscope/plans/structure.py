@@ -305,14 +305,18 @@ _REPORT_KEYS = [
 
 
 def report_base(captures: DataFrame, within: list[str]) -> DataFrame:
-    """Compact frame from which most of the URL-structure report is computed."""
+    """Compact frame from which most of the URL-structure report is computed.
+
+    Every capture is counted; of its SURT key only whether there is one is kept.
+    """
     ready = captures.withColumns(
         {
             "ext": _ext(captures),
             "depth": urls.stored_or(captures, "depth", urls.path_depth()),
+            "surtkey": F.when(F.col("surtkey").isNotNull(), F.lit("")),
         }
-    ).where(F.col("surtkey").isNotNull())
-    return roll.compact(ready, [*within, *_REPORT_KEYS]).withColumn("surtkey", F.lit(""))
+    )
+    return roll.compact(ready, [*within, "surtkey", *_REPORT_KEYS])
 
 
 # name -> (reads the compact base or the captures, report)
@@ -352,7 +356,7 @@ def url_structure_report(
     years=CRAWL_YEARS,
     within: list[str] | None = None,
     base: DataFrame | None = None,
-    limit: int = 30,
+    limit: int | None = None,
     frames: list[str] | None = None,
 ) -> dict[str, DataFrame]:
     """URL-structure frames (all, or the named ones) for every domain at once.

@@ -236,6 +236,12 @@ def typed_records(raw: DataFrame, crawl_year: Column | str, domains=None) -> Dat
     )
 
 
+def typed_schema() -> T.StructType:
+    """The columns of :func:`typed_records`."""
+    derived = {*urls.URL_COLUMNS, *urls.SURT_COLUMNS} - {"surtkey"}
+    return T.StructType([f for f in capture_schema().fields if f.name not in derived])
+
+
 def widen(typed: DataFrame) -> DataFrame:
     """Typed records to the 34-column captures table, in its fixed column order."""
     return urls.with_surt_columns(urls.with_url_columns(typed)).select(*CAPTURE_COLUMNS)

@@ -20,10 +20,15 @@ def read_year(spark: SparkSession, folder: str, year: str) -> DataFrame:
 def read_years(
     spark: SparkSession, folders: dict[str, str], years="all", allowed=CRAWL_YEARS
 ) -> DataFrame:
-    """Several years united by column name, absent columns NULL."""
-    frames = [
-        read_year(spark, folders[y], y) for y in resolve_years(years, allowed) if y in folders
-    ]
+    """Several years united by column name, absent columns NULL. ``"all"`` means the
+    years that have a folder; a year asked for by name must have one."""
+    wanted = resolve_years(years, allowed)
+    if years == "all":
+        wanted = [y for y in wanted if y in folders]
+    absent = [y for y in wanted if y not in folders]
+    if absent or not wanted:
+        raise ValueError(f"no folder for crawl year(s) {absent or list(allowed)}")
+    frames = [read_year(spark, folders[y], y) for y in wanted]
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
 
 

@@ -1,8 +1,10 @@
 """Incremental loading of capture files with Structured Streaming.
 
 The stream checkpoint remembers which files were loaded, so a second run picks
-up only new ones. The Parquet file sink commits each micro-batch once, also
-when executors are lost in between.
+up only new ones. Each micro-batch is written like a batch load, laid out by year
+and domain, into a plain table: what others append to it is read back. Its broken
+lines go to a quarantine folder. A batch that is run again, as it failed half way,
+adds only the captures that its first attempt did not.
 """
 
 from __future__ import annotations
@@ -20,12 +22,11 @@ from surtscope.tables import store
 def capture_stream(
     spark: SparkSession,
     folder: str,
-    domains=TARGET_DOMAINS,
     glob: str = "*.cdxj.gz",
     year_pattern: str = YEAR_IN_PATH,
     files_per_batch: int = 1000,
 ) -> DataFrame:
-    """Streaming typed records from all files below a folder, bad lines left out."""
+    """Streaming lines of all files below a folder: ``value, file, crawl_year``."""
     lines = (
         spark.readStream.option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
@@ -33,20 +34,47 @@ def capture_stream(
         .text(folder)
         .select("value", F.col("_metadata.file_path").alias("file"))
     )
-    year = cdxj.year_from_path("file", year_pattern)
-    return cdxj.typed_records(cdxj.records(lines), year, domains)
+    return lines.withColumn("crawl_year", cdxj.year_from_path("file", year_pattern))
+
+
+def _add(table: DataFrame, fresh: DataFrame, path: str, domains) -> None:
+    """Append the captures of ``fresh`` that ``table`` lacks. Only the crawl years of
+    ``fresh`` are read of the table."""
+    key = store.CAPTURE_KEY
+    years = [r[0] for r in fresh.select("crawl_year").distinct().collect()]
+    seen = with_keys_of(table.where(F.col("crawl_year").isin(*years)), fresh, key)
+    store.write_captures(absent_from(fresh, seen, key), path, domains, "append")
 
 
 def load_new_files(
-    stream: DataFrame, path: str, checkpoint: str, domains=TARGET_DOMAINS
+    stream: DataFrame, path: str, checkpoint: str, domains=TARGET_DOMAINS, quarantine: str | None = None
 ) -> StreamingQuery:
-    """Load everything that is new, then stop. Returns the finished query."""
+    """Load everything that is new, then stop. Returns the finished query.
+
+    Broken lines go to ``quarantine``, ``<path>-errors`` if none is named, in a
+    folder for each batch that a second attempt overwrites.
+    """
+    quarantine = quarantine or f"{path.rstrip('/')}-errors"
+
+    def load(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        begun = f"{checkpoint}-ledger/{batch_id}.begun"
+        done = f"{checkpoint}-ledger/{batch_id}.done"
+        if store.exists(spark, done):
+            return
+        lines = batch.withColumn("row", F.monotonically_increasing_id())
+        typed = cdxj.typed_records(cdxj.records(lines), F.col("crawl_year"), domains)
+        if store.exists(spark, begun):
+            _add(store.read(spark, path), typed, path, domains)
+        else:
+            store.mark(spark, begun)
+            store.write_captures(typed, path, domains, "append")
+        store.write_csv(cdxj.errors(lines), f"{quarantine}/batch={batch_id}", "overwrite")
+        store.mark(spark, done)
+
+    store.ensure_table(stream.sparkSession, path)
     query = (
-        store.enrich(cdxj.widen(stream), domains)
-        .writeStream.format("parquet")
-        .partitionBy(*store.PARTITIONS)
-        .option("compression", "zstd")
-        .option("path", path)
+        stream.writeStream.foreachBatch(load)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
@@ -56,33 +84,21 @@ def load_new_files(
 
 
 def append_unseen(
-    stream: DataFrame, path: str, checkpoint: str, domains=TARGET_DOMAINS, key=None
+    stream: DataFrame, path: str, checkpoint: str, domains=TARGET_DOMAINS, quarantine: str | None = None
 ) -> StreamingQuery:
     """Append only captures whose key the table does not hold yet.
 
-    Unlike the plain file sink this also survives a lost checkpoint: replayed
-    batches find their rows already there. Only the batch's own crawl years of
-    the table are read, and the batch is parsed once.
+    Unlike the plain load this also survives a lost checkpoint: replayed files find
+    their captures already there. All batches of a run are staged beside the
+    checkpoint and compared with the table once, at the end; a staged folder that a
+    failed run left is taken along by the next.
     """
-    key = key or store.CAPTURE_KEY
-
-    def add(batch: DataFrame, _batch_id: int) -> None:
-        batch.persist()
-        try:
-            years = [r[0] for r in batch.select("crawl_year").distinct().collect()]
-            table = store.read(batch.sparkSession, path).where(F.col("crawl_year").isin(*years))
-            seen = with_keys_of(table, batch, key)
-            fresh = absent_from(batch.dropDuplicates(key), seen, key)
-            store.write_captures(fresh, path, domains, "append")
-        finally:
-            batch.unpersist()
-
-    store.ensure_table(stream.sparkSession, path)
-    query = (
-        stream.writeStream.foreachBatch(add)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
+    spark = stream.sparkSession
+    staged = f"{checkpoint}-staged"
+    query = load_new_files(stream, staged, checkpoint, domains, quarantine or f"{path.rstrip('/')}-errors")
+    store.ensure_table(spark, path)
+    typed = [f.name for f in cdxj.typed_schema().fields]
+    fresh = store.read(spark, staged).select(*typed).dropDuplicates(store.CAPTURE_KEY)
+    _add(store.read(spark, path), fresh, path, domains)
+    store.remove(spark, staged)
     return query

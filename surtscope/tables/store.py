@@ -8,12 +8,14 @@ someone removes it, so a lost executor or a failed job never loses data.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
+from functools import reduce
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from surtscope.config import CRAWL_YEARS, TARGET_DOMAINS, YEAR_FOLDER_PREFIX
+from surtscope.config import CRAWL_YEARS, TARGET_DOMAINS, YEAR_FOLDER_PREFIX, resolve_years
 from surtscope.functions import urls
 from surtscope.operators import domains as dom
 from surtscope.operators.reconcile import absent_from
@@ -98,6 +100,53 @@ def write_captures(
     return _save(wide.select(*columns), path, mode, PARTITIONS)
 
 
+def _file_system(spark: SparkSession, path: str):
+    """Hadoop file system and path object of a folder, for listings and markers only."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, place = _file_system(spark, path)
+    return fs.exists(place)
+
+
+def mark(spark: SparkSession, path: str) -> None:
+    """Create an empty marker file."""
+    fs, place = _file_system(spark, path)
+    fs.create(place, True).close()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    fs, place = _file_system(spark, path)
+    fs.delete(place, True)
+
+
+def _partition_files(spark: SparkSession, path: str, years: list[str]) -> dict[str, set[str]]:
+    """File names by partition folder of some crawl years of a table."""
+    found: dict[str, set[str]] = {}
+    for year in years:
+        fs, place = _file_system(spark, f"{path}/crawl_year={year}")
+        for folder in fs.listStatus(place) if fs.exists(place) else ():
+            files = fs.listStatus(folder.getPath())
+            found[folder.getPath().toString()] = {f.getPath().getName() for f in files}
+    return found
+
+
+def _replace_years(typed: DataFrame, path: str, domains, years: list[str]) -> int:
+    """Swap all partitions of ``years``: those that the new rows have are overwritten,
+    and those that still hold old files afterwards are removed. Repeating a run that
+    died in between ends in the same table."""
+    spark = typed.sparkSession
+    before = _partition_files(spark, path, years)
+    written = write_captures(typed, path, domains, "replace")
+    after = _partition_files(spark, path, years)
+    for folder, files in before.items():
+        if files and files <= after.get(folder, set()):
+            remove(spark, folder)
+    return written
+
+
 def append(df: DataFrame, path: str, partitions: list[str] | None = None) -> int:
     """Append by column name: the frame is put in the table's column order."""
     target = df.sparkSession.read.parquet(path).columns
@@ -122,16 +171,30 @@ def load_years(
     """Load the CDXJ files of some years in one job; returns rows written.
 
     ``append`` adds to what is there, so loading a year twice doubles it;
-    ``replace`` swaps the loaded years' partitions and can be repeated. The
-    broken lines go to a CSV folder ``quarantine`` if one is named.
+    ``replace`` swaps all partitions of the loaded years and can be repeated. A
+    row's year is the year of the folder that was asked for. Years without a
+    folder are named in a warning and the others are loaded; if there is none at
+    all, that is an error. Broken lines are appended to the CSV folder
+    ``quarantine``, ``<path>-errors`` if none is named.
     """
-    folders = cdxj.year_folders(data_dir, years, allowed, prefix)
-    lines = cdxj.read_lines(spark, folders, glob, base_path=data_dir)
-    raw = cdxj.records(lines)
-    year = cdxj.year_from_path()
-    written = write_captures(cdxj.typed_records(raw, year, domains), path, domains, mode)
-    if quarantine:
-        write_csv(cdxj.errors(lines), quarantine)
+    wanted = resolve_years(years, allowed)
+    folders = dict(zip(wanted, cdxj.year_folders(data_dir, wanted, allowed, prefix)))
+    absent = [y for y, folder in folders.items() if not exists(spark, folder)]
+    if len(absent) == len(wanted):
+        raise FileNotFoundError(f"no folder of crawl year(s) {absent} in {data_dir}")
+    if absent:
+        warnings.warn(f"no folder of crawl year(s) {absent} in {data_dir}; the others are loaded", stacklevel=2)
+    present = [y for y in wanted if y not in absent]
+    lines = reduce(
+        DataFrame.unionByName,
+        [cdxj.read_lines(spark, folders[y], glob, True).withColumn("crawl_year", F.lit(y)) for y in present],
+    )
+    typed = cdxj.typed_records(cdxj.records(lines), F.col("crawl_year"), domains)
+    if mode == "replace":
+        written = _replace_years(typed, path, domains, present)
+    else:
+        written = write_captures(typed, path, domains, mode)
+    write_csv(cdxj.errors(lines), quarantine or f"{path.rstrip('/')}-errors", "append")
     return written
 
 
@@ -177,8 +240,9 @@ def check_same_columns(source: DataFrame, target: DataFrame) -> None:
 def migrate_surt_columns(df: DataFrame, path: str, partitions: list[str] | None = None) -> str | None:
     """Write ``df`` with all SURT columns to ``path``; None if there is nothing to do.
 
-    A partial set of SURT columns is recomputed. The copy must hold exactly as
-    many rows as the source; both counts come from Parquet footers.
+    A partial set of SURT columns is recomputed. The copy keeps the layout by year
+    and domain where ``df`` has these columns (``[]`` writes a flat table). It must
+    hold as many rows as were written; the second count comes from Parquet footers.
     """
     if set(urls.SURT_COLUMNS) <= set(df.columns):
         return None
@@ -186,8 +250,10 @@ def migrate_surt_columns(df: DataFrame, path: str, partitions: list[str] | None
         raise ValueError("table has no surtkey column to derive from")
     spark = df.sparkSession
     bare = df.drop(*[c for c in urls.SURT_COLUMNS if c in df.columns])
-    write(urls.with_surt_columns(bare), path, "errorifexists", partitions or [], [])
-    before, after = df.count(), spark.read.parquet(path).count()
+    if partitions is None:
+        partitions = [c for c in PARTITIONS if c in df.columns]
+    before = write(urls.with_surt_columns(bare), path, "errorifexists", partitions)
+    after = spark.read.parquet(path).count()
     if before != after:
         raise RuntimeError(f"row count changed during migration: {before} -> {after}")
     return path
@@ -216,40 +282,30 @@ def materialise(df: DataFrame, path: str, partitions: list[str] | None = None) -
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def has_dns(table: DataFrame) -> bool:
-    return not table.where(F.col("mime") == DNS).limit(1).isEmpty()
-
-
 def backfill_dns(
     spark: SparkSession,
     lines: DataFrame,
     path: str,
     crawl_year,
     domains=TARGET_DOMAINS,
-    force: bool = False,
 ) -> int:
-    """Append DNS records found in CDXJ lines to a table that has none.
+    """Append the DNS records of CDXJ lines that a table does not hold yet.
 
-    A table that already has some is left alone unless ``force``. Either way a
-    record that is already there (same key, time and url) is not added twice,
-    so a run that died half way can be repeated.
+    Records are compared by their capture key, so a second run adds nothing and a
+    run that died half way is completed by the next one.
     """
     table = read(spark, path)
-    if has_dns(table) and not force:
-        return 0
     found = enrich(cdxj.captures(cdxj.dns_records(lines), crawl_year, domains), domains)
     return append(absent_from(found, table.where(F.col("mime") == DNS), CAPTURE_KEY), path)
 
 
 def propagate_dns(
-    source: DataFrame, path: str, domain: str, schema=None, force: bool = False
+    source: DataFrame, path: str, domain: str, schema=None
 ) -> int:
-    """Copy one domain's DNS rows from the full table into its own table."""
+    """Copy one domain's DNS rows that its own table lacks from the full table."""
     spark = source.sparkSession
     target = read(spark, path, schema) if schema else spark.read.parquet(path)
     check_same_columns(source, target)
-    if has_dns(target) and not force:
-        return 0
     wanted = source.where((F.col("mime") == DNS) & dom.is_one_domain("surtkey", domain))
     fresh = absent_from(wanted, target.where(F.col("mime") == DNS), CAPTURE_KEY)
     return write(fresh.select(*target.columns), path, "append", [], [])

@@ -129,7 +129,6 @@ def test_quantiles_equal_percentile(frame, collect):
     keys, wanted = ["base_domain"], {"med": 0.5, "p95": 0.95, "lo": 0.0, "hi": 1.0}
     values = quant.blocked(frame, keys, "size")
     got = collect(quant.quantiles(values, keys, wanted))
-    assert got == collect(quant.quantiles(values, keys, wanted, max_groups=3))
     want = collect(
         frame.groupBy("base_domain").agg(
             F.median("size"), F.percentile("size", 0.95), F.min("size").cast("double"), F.max("size").cast("double")

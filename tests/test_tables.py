@@ -72,6 +72,27 @@ def test_replacing_load_can_be_repeated(spark, load):
         assert store.read(spark, path).count() == n
 
 
+def test_replacing_load_clears_its_years_only(spark, load, archive):
+    path, n = load()
+    rows = store.read(spark, path)
+    kept = rows.where("crawl_year <> '2020'").count()
+    again = store.load_years(
+        spark, str(archive / "cdxj"), path, ["2020"], ["ed.gov"], YEARS, mode="replace"
+    )
+    assert again == rows.where("crawl_year = '2020' and base_domain = 'ed.gov'").count()
+    assert store.read(spark, path).count() == kept + again
+
+
+def test_load_names_absent_years_and_keeps_broken_lines(spark, load, archive):
+    path, out = load(["2020"])[0], str(archive / "absent")
+    with pytest.warns(UserWarning, match="2099"):
+        n = store.load_years(spark, str(archive / "cdxj"), out, ["2020", "2099"], TARGETS, [*YEARS, "2099"])
+    assert n == store.read(spark, path).count() == store.read(spark, out).count()
+    assert spark.read.option("header", "true").csv(f"{out}-errors").count() == 4
+    with pytest.raises(FileNotFoundError):
+        store.load_years(spark, str(archive / "cdxj"), out, ["2099"], TARGETS, ["2099"])
+
+
 def test_published_view_keeps_years_as_strings(spark, load):
     path, n = load()
     store.publish(spark, "captures_view", path)
@@ -145,7 +166,6 @@ def test_dns_backfill_is_idempotent(spark, load, archive):
     year = cdxj.year_from_path()
     assert store.backfill_dns(spark, lines, bare, year, TARGETS) == 1
     assert store.backfill_dns(spark, lines, bare, year, TARGETS) == 0
-    assert store.backfill_dns(spark, lines, bare, year, TARGETS, force=True) == 0
     assert store.read(spark, bare).count() == n
 
 
@@ -156,7 +176,6 @@ def test_dns_propagation(spark, load, archive):
     store.write(full.where("base_domain = 'ed.gov' and mime <> 'text/dns'"), one, partitions=[])
     assert store.propagate_dns(full, one, "ed.gov", store.table_schema()) == 1
     assert store.propagate_dns(full, one, "ed.gov", store.table_schema()) == 0
-    assert store.propagate_dns(full, one, "ed.gov", store.table_schema(), force=True) == 0
     with pytest.raises(store.SchemaMismatch, match="missing in target"):
         store.propagate_dns(full.withColumn("extra", F.lit(1)), one, "ed.gov")
 
@@ -181,20 +200,33 @@ def test_stream_equals_batch_and_loads_once(spark, load, archive, collect):
     path, n = load()
     out, mark = str(archive / "s"), str(archive / "mark")
     for _ in range(2):
-        stream = ingest.capture_stream(spark, str(archive / "cdxj"), TARGETS)
+        stream = ingest.capture_stream(spark, str(archive / "cdxj"))
         ingest.load_new_files(stream, out, mark, TARGETS)
     streamed = store.read(spark, out)
     assert collect(streamed) == collect(store.read(spark, path).select(*streamed.columns))
     write(archive / "cdxj" / "CRAWL-2024", "late.cdxj.gz", [line("gov,ed)/late", "http://ed.gov/late")])
-    ingest.load_new_files(ingest.capture_stream(spark, str(archive / "cdxj"), TARGETS), out, mark, TARGETS)
+    ingest.load_new_files(ingest.capture_stream(spark, str(archive / "cdxj")), out, mark, TARGETS)
     assert store.read(spark, out).count() == n + 1
 
 
+def test_streamed_table_takes_appends_and_repeated_batches(spark, load, archive):
+    path, n = load()
+    out, mark = str(archive / "t"), str(archive / "tmark")
+    ingest.load_new_files(ingest.capture_stream(spark, str(archive / "cdxj")), out, mark, TARGETS)
+    assert store.append(store.read(spark, path).limit(2), out) == 2
+    assert store.read(spark, out).count() == n + 2
+    assert spark.read.option("header", "true").csv(f"{out}-errors").count() == 8
+    store.remove(spark, f"{mark}-ledger/0.done")  # as if the batch had failed half way
+    store.remove(spark, f"{mark}/commits")
+    ingest.load_new_files(ingest.capture_stream(spark, str(archive / "cdxj")), out, mark, TARGETS)
+    assert store.read(spark, out).count() == n + 2
+
+
 def test_unseen_append_survives_a_lost_checkpoint(spark, load, archive):
     _, n = load()
     out = str(archive / "u")
     for i in range(2):
-        stream = ingest.capture_stream(spark, str(archive / "cdxj"), TARGETS, files_per_batch=1)
+        stream = ingest.capture_stream(spark, str(archive / "cdxj"), files_per_batch=1)
         ingest.append_unseen(stream, out, str(archive / f"mark{i}"), TARGETS)
     assert store.read(spark, out).count() == n
 
