@@ -211,7 +211,7 @@ def test_stream_equals_batch_and_loads_once(spark, load, archive, collect):
 
 def test_streamed_table_takes_appends_and_repeated_batches(spark, load, archive):
     path, n = load()
-    out, mark = str(archive / "t"), str(archive / "tmark")
+    out, mark = str(archive / "plain"), str(archive / "plain-mark")
     ingest.load_new_files(ingest.capture_stream(spark, str(archive / "cdxj")), out, mark, TARGETS)
     assert store.append(store.read(spark, path).limit(2), out) == 2
     assert store.read(spark, out).count() == n + 2
