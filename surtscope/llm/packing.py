@@ -108,8 +108,7 @@ class VectorPacker:
     def _close(self, keep: int) -> Iterator[Piece]:
         """Close sequences until at most ``keep`` rests wait."""
         while self._size > keep:
-            pieces = self._one_sequence()
-            yield from pieces if keep else self._padded_or_cut(pieces)
+            yield from self._padded_or_cut(self._one_sequence())
 
     def _one_sequence(self) -> list[Piece]:
         """One sequence. Every example is one segment, so that dimension decides
@@ -143,7 +142,7 @@ class VectorPacker:
         return pieces
 
     def _padded_or_cut(self, pieces: list[Piece]) -> list[Piece]:
-        """A last sequence that is not full, cut into sequences of 2**k tokens."""
+        """A sequence that is not full, cut into sequences of 2**k tokens."""
         total = sum(p.length for p in pieces)
         if total == self.limits.tokens or total & (total - 1) == 0:
             return pieces
