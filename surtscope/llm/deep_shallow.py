@@ -1,6 +1,6 @@
 """Deep-shallow suffix sorting of fixed-length prefixes.
 
-Shallow: multikey quicksort with eight-byte words as characters. A pass sorts the
+Shallow: an MSD sort with eight-byte words as characters. A pass sorts the
 words of all groups that are still tied at once and splits each group at its
 changes; equal words stay together for the next word. Deep: groups that share
 the whole shallow depth go into one blind trie each. The trie branches on single
@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import numpy as np
 
-#: Words that the quicksort looks at before tries take over.
+#: Words that the shallow sort looks at before tries take over.
 SHALLOW_WORDS = 3
 
 
