@@ -36,6 +36,34 @@ SELECT page_id, url, payload_bytes,
 FROM p JOIN f USING (sha, payload_bytes)
 """
 
+LEXICAL_SEARCH = r"""
+WITH word AS (
+    SELECT r, doc_id, unnest(regexp_extract_all(body, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM (SELECT row_number() OVER () AS r, doc_id,
+                 translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body FROM documents)
+), tf AS (
+    SELECT r, any_value(doc_id) AS doc_id, term, count(*) AS tf FROM word GROUP BY r, term
+), doc AS (
+    SELECT r, sum(tf)::BIGINT AS n FROM tf GROUP BY r
+), totals AS (
+    SELECT count(*)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM doc
+), df AS (
+    SELECT term, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM tf, totals GROUP BY term, docs
+), asked AS (
+    SELECT DISTINCT item, item_id, term FROM (
+        SELECT item, item_id, unnest(regexp_extract_all(body, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+        FROM (SELECT row_number() OVER () AS item, item_id,
+                     translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS body
+              FROM (SELECT DISTINCT item_id, text FROM benchmark)))
+), scored AS (
+    SELECT item, item_id, r, doc_id,
+           sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * docs) // terms))))::BIGINT AS score
+    FROM asked JOIN tf USING (term) JOIN df USING (term) JOIN doc USING (r), totals GROUP BY ALL
+)
+SELECT item_id, row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST)::INTEGER AS rank, doc_id, score
+FROM scored WHERE score > 0 QUALIFY rank <= 50
+"""
+
 
 def _holds(rule) -> str:
     bounds = [f"{rule.measure} >= {rule.low}"] if rule.low is not None else []

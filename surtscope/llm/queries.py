@@ -11,6 +11,7 @@ from surtscope.llm import (
     byte_bpe,
     exact_dedup,
     katz,
+    lexical_search,
     oracle,
     packing,
     pu_quality,
@@ -73,6 +74,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_dedup,
@@ -85,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op8_trigram_secrets,
         op9_warc_index,
         op10_quality_rules,
+        op11_lexical_search,
     )
     return {f.__name__: f for f in found}
 
@@ -94,4 +100,5 @@ def oracle_sql() -> dict[str, str]:
         "op7_tree_exact_dedup": oracle.EXACT_DEDUP,
         "op9_warc_index": oracle.WARC_INDEX,
         "op10_quality_rules": oracle.quality_rules_sql(),
+        "op11_lexical_search": oracle.LEXICAL_SEARCH,
     }
