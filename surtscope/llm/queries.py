@@ -19,6 +19,8 @@ from surtscope.llm import (
     secret_scan,
     simhash,
     suffix_dedup,
+    token_align,
+    token_counts,
     warc,
 )
 from surtscope.llm.common import table
@@ -31,6 +33,10 @@ PACKING_ENCODER = (
     public_tokenizers.PATTERN,
     (("<|endoftext|>", 50256),),
 )
+#: The same files without special tokens, and the model they are aligned with.
+ALIGNED_LEFT = PACKING_ENCODER[:3]
+ALIGNED_RIGHT = public_tokenizers.path("piece_bpe_32k.model")
+COUNTED_VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
 CODING_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
 
@@ -78,6 +84,14 @@ def op11_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_align.align_corpus(table(spark, sf_dir, "documents"), ALIGNED_LEFT, ALIGNED_RIGHT, with_groups=False)
+
+
+def op13_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), COUNTED_VOCABULARY)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (
         op1_suffix_dedup,
@@ -91,6 +105,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         op9_warc_index,
         op10_quality_rules,
         op11_lexical_search,
+        op12_token_alignment,
+        op13_token_counts,
     )
     return {f.__name__: f for f in found}
 
