@@ -27,9 +27,10 @@ import base64
 import hashlib
 import os
 import re
-from collections.abc import Iterator
-from functools import lru_cache
-from itertools import accumulate
+from array import array
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+from functools import cache, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -67,9 +68,10 @@ class LeftEncoder:
         self._exact.encode_special_tokens = True
         byte_of = byte_symbols()
         vocabulary = self._exact.get_vocab(with_added_tokens=False)
-        self.tokens = [b""] * (max(vocabulary.values()) + 1)
+        tokens = [b""] * (max(vocabulary.values()) + 1)
         for token, k in vocabulary.items():
-            self.tokens[k] = bytes(byte_of[c] for c in token)
+            tokens[k] = bytes(byte_of[c] for c in token)
+        self.side = _Side(tokens)
         self._ranked = None
         if ranks:
             import tiktoken
@@ -108,7 +110,7 @@ class RightEncoder:
         import sentencepiece
 
         self._model = sentencepiece.SentencePieceProcessor(model_file=path)
-        self.tokens = [self._bytes_of(k) for k in range(self._model.get_piece_size())]
+        self.side = _Side([self._bytes_of(k) for k in range(self._model.get_piece_size())])
 
     def _bytes_of(self, k: int) -> bytes:
         piece = self._model.id_to_piece(k)
@@ -126,71 +128,104 @@ def encoders(left: tuple, right: str) -> tuple[LeftEncoder, RightEncoder]:
     return LeftEncoder(*left), RightEncoder(right)
 
 
-def align(ends_a: list[int], ends_b: list[int]) -> tuple[list[tuple[int, int, int, int]], list[int], list[int]]:
-    """Groups and links of two token sequences over the same bytes, from their ends.
+@dataclass(frozen=True)
+class Alignment:
+    """Links in order, as positions in a and in b, and the group of each token."""
 
-    Groups are (first of a, first of b, tokens of a, tokens of b), a stretch of
-    one-to-one groups being one entry with a negative count on both sides; links are
-    the positions in a and in b of each pair that shares bytes.
-    """
-    groups, links_a, links_b = [], [], []
-    i = j = 0
+    links_a: np.ndarray
+    links_b: np.ndarray
+    groups_a: np.ndarray
+    groups_b: np.ndarray
+
+    @property
+    def n_groups(self) -> int:
+        return int(self.groups_a[-1]) + 1 if len(self.groups_a) else 0
+
+
+def align(ends_a: Sequence[int], ends_b: Sequence[int]) -> Alignment:
+    """Walk two token sequences over the same bytes, given by their ends."""
+    a_stays, b_stays = [], []  # links that differ from the one before on one side only
+    i = j = n_links = 0
     n = len(ends_a)
     while i < n:
-        start, width, grows = i, 1, True
-        while width:
-            if i < n and ends_a[i : i + width] == ends_b[j : j + width]:
+        start, width = i, 1
+        while ends_a[i : i + width] == ends_b[j : j + width]:
+            i, j = i + width, j + width
+            if i >= n:
+                i, j = n, j - i + n
+                break
+            width *= 2
+        while width > 1 and i < n:
+            width //= 2
+            if ends_a[i : i + width] == ends_b[j : j + width]:
                 step = min(width, n - i)
                 i, j = i + step, j + step
-                width = 2 * width if grows else width // 2
-            else:
-                width, grows = width // 2, False
-        if i > start:
-            run = i - start
-            groups.append((start, j - run, -run, -run))
-            links_a.extend(range(start, i))
-            links_b.extend(range(j - run, j))
+        n_links += i - start
         if i < n:
-            first_a, first_b = i, j
             end_a, end_b = ends_a[i], ends_b[j]
-            links_a.append(i)
-            links_b.append(j)
+            n_links += 1
             while end_a != end_b:
                 if end_a < end_b:
                     i += 1
                     end_a = ends_a[i]
+                    b_stays.append(n_links)
                 else:
                     j += 1
                     end_b = ends_b[j]
-                links_a.append(i)
-                links_b.append(j)
+                    a_stays.append(n_links)
+                n_links += 1
             i, j = i + 1, j + 1
-            groups.append((first_a, first_b, i - first_a, j - first_b))
-    return groups, links_a, links_b
-
-
-def written(groups: list[tuple[int, int, int, int]], a: list[int], b: list[int]) -> tuple[int, str]:
-    """The number of groups, and the groups as ``a1,a2|b1;a3|b2,b3``."""
-    parts, names_a, names_b = [], list(map(str, a)), list(map(str, b))
-    for i, j, n_a, n_b in groups:
-        if n_a < 0:
-            parts += map("|".join, zip(names_a[i : i - n_a], names_b[j : j - n_b]))
-        else:
-            parts.append(f"{','.join(names_a[i : i + n_a])}|{','.join(names_b[j : j + n_b])}")
-    return len(parts), ";".join(parts)
-
-
-def _aligned_text(text: str, a: list[int], b: list[int], bytes_a: list[bytes], bytes_b: list[bytes]):
-    """(a, b, n_groups, groups, distinct pairs, their times) of one text."""
-    parts_a, parts_b = [bytes_a[k] for k in a], [bytes_b[k] for k in b]
-    body = b" " + text.encode()
-    if not text or b"".join(parts_a) != body or b"".join(parts_b) != body:
+    moves_a, moves_b = np.ones(n_links, bool), np.ones(n_links, bool)
+    moves_a[a_stays] = False
+    moves_b[b_stays] = False
+    group = np.cumsum(moves_a & moves_b) - 1  # a link that moves on on both sides opens a group
+    return Alignment(np.cumsum(moves_a) - 1, np.cumsum(moves_b) - 1, group[moves_a], group[moves_b])
+
+
+def written(found: Alignment, a: np.ndarray, b: np.ndarray, side_a: _Side, side_b: _Side) -> str:
+    """The groups as ``a1,a2|b1;a3|b2,b3``: each token with what follows it, in order."""
+    last_a = np.diff(found.groups_a, append=-1) != 0
+    last_b = np.diff(found.groups_b, append=-1) != 0
+    out = np.empty(len(a) + len(b), object)
+    before_a = np.searchsorted(found.groups_b, found.groups_a)
+    before_b = np.searchsorted(found.groups_a, found.groups_b, side="right")
+    out[np.arange(len(a)) + before_a] = np.where(last_a, side_a.written("|")[a], side_a.written(",")[a])
+    out[np.arange(len(b)) + before_b] = np.where(last_b, side_b.written(";")[b], side_b.written(",")[b])
+    return "".join(out.tolist())[:-1]
+
+
+class _Side:
+    """Bytes, lengths and written ids of one vocabulary's tokens, looked up in bulk."""
+
+    def __init__(self, tokens: list[bytes]):
+        self._tokens = np.empty(len(tokens), object)
+        self._tokens[:] = tokens
+        self._lengths = np.array([len(t) for t in tokens], np.int64)
+
+    def body(self, ids: np.ndarray) -> bytes:
+        return b"".join(self._tokens[ids].tolist())
+
+    @cache
+    def written(self, mark: str) -> np.ndarray:
+        """Every id in decimal, with a mark behind it."""
+        found = np.empty(len(self._tokens), object)
+        found[:] = [f"{k}{mark}" for k in range(len(found))]
+        return found
+
+    def ends(self, ids: np.ndarray) -> array:
+        found = array("q")
+        found.frombytes(np.cumsum(self._lengths[ids]).tobytes())
+        return found
+
+
+def _aligned_text(text: str, a: list[int], b: list[int], side_a: _Side, side_b: _Side):
+    """(tokens of a, tokens of b, number of groups, groups, distinct pairs, their times)."""
+    ids_a, ids_b, body = np.array(a, np.int64), np.array(b, np.int64), b" " + text.encode()
+    if not text or side_a.body(ids_a) != body or side_b.body(ids_b) != body:
         return 0, 0, 0, "", np.zeros(0, np.int64), np.zeros(0, np.int64)
-    ends_a, ends_b = list(accumulate(map(len, parts_a))), list(accumulate(map(len, parts_b)))
-    groups, links_a, links_b = align(ends_a, ends_b)
-    ids_a, ids_b = np.array(a, np.int64), np.array(b, np.int64)
-    pairs, times = np.unique(ids_a[links_a] << 32 | ids_b[links_b], return_counts=True)
-    return len(a), len(b), *written(groups, a, b), pairs, times
+    found = align(side_a.ends(ids_a), side_b.ends(ids_b))
+    pairs, times = np.unique(ids_a[found.links_a] << 32 | ids_b[found.links_b], return_counts=True)
+    return len(a), len(b), found.n_groups, written(found, ids_a, ids_b, side_a, side_b), pairs, times
 
 
 def _slices(texts: list[str]) -> Iterator[slice]:
@@ -214,12 +249,13 @@ def alignments(docs: DataFrame, left: tuple, right: str, with_groups: bool = Tru
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder_a, encoder_b = encoders(left, right)
+        sides = encoder_a.side, encoder_b.side
         for batch in batches:
             texts = [t or "" for t in batch.column("text").to_pylist()]
             for part in _slices(texts):
                 some = texts[part]
                 encoded = zip(some, encoder_a.encode([" " + t for t in some]), encoder_b.encode(some))
-                found = [_aligned_text(t, a, b, encoder_a.tokens, encoder_b.tokens) for t, a, b in encoded]
+                found = [_aligned_text(t, a, b, *sides) for t, a, b in encoded]
                 n_a, n_b, n_groups, groups, pairs, times = zip(*found)
                 if not with_groups:
                     groups = [hashlib.sha256(g.encode()).hexdigest() if g else "" for g in groups]
