@@ -439,6 +439,16 @@ SELECT crawl_year, target AS base_domain, count(*) AS n, count(DISTINCT surtkey)
         "snk_load_absent_year": w(per_cell.format(bd="target", where="target IS NOT NULL AND crawl_year = '2020'")),
         "snk_load_quarantine": with_errors('SELECT error_type, count(*) AS "count" FROM errors GROUP BY 1'),
         "str_stream_quarantine": with_errors('SELECT error_type, count(*) AS "count" FROM errors GROUP BY 1'),
+        "snk_load_interrupted": w(per_cell.format(bd="target", where="target IS NOT NULL AND crawl_year IN ('2016', '2020')")),
+        "snk_load_counts": w("""SELECT 0 AS run, count(*) AS "rows" FROM c WHERE target IS NOT NULL AND crawl_year IN ('2016', '2020')
+UNION ALL SELECT 1, count(*) FROM c WHERE target = 'example.com' AND crawl_year = '2020'
+UNION ALL SELECT 2, count(*) FROM c WHERE target IS NOT NULL AND crawl_year = '2004'"""),
+        "snk_load_quarantine_repeated": with_errors("""SELECT regexp_extract(file, 'CRAWL-([0-9]+)', 1) AS crawl_year, error_type,
+  count(*) AS n, CAST(sum(line) AS BIGINT) AS lines FROM errors GROUP BY 1, 2"""),
+        "str_lost_checkpoint": w(targets),
+        "str_unseen_lost_checkpoint": w(targets),
+        "str_half_batch": w(targets),
+        "str_unseen_without_years": w("SELECT CAST(NULL AS VARCHAR) AS crawl_year, target AS base_domain, count(*) AS n, count(DISTINCT surtkey) AS keys FROM c WHERE target IS NOT NULL GROUP BY 1, 2"),
         "snk_backfill_interrupted": w(targets),
         "str_stream_then_append": w(per_cell.format(bd="COALESCE(target, 'other')", where="true")),
         "snk_structure_path_heat": w(f"SELECT base_domain, seg1, {_YEAR_COLS}, " + ", ".join(f'round(ln(1 + "{y}"), 9) AS log_{y}' for y in YEARS) + f" FROM (SELECT *, row_number() OVER (PARTITION BY base_domain ORDER BY total DESC, seg1) AS r FROM (SELECT {_BD}, {_SEG1} AS seg1, {_years()} FROM c GROUP BY 1, 2) WHERE seg1 <> '(root)') WHERE r <= 15"),

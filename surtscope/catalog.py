@@ -466,6 +466,41 @@ def _tables() -> dict[str, Query]:
         bad = s.read.option("header", "true").csv(f"{path}-errors")
         return cdxj.error_type_counts(bad)
 
+    def load_interrupted(s, f):
+        """A replacing load that dies before its switch leaves the old years whole."""
+        a = Archive(s, f)
+        path = session.run_folder(s, "interrupted")
+        args = {"glob": "*.gz", "prefix": "crawl=CRAWL-"}
+        store.load_years(s, a.lines_path(), path, ["2016", "2020"], DOMAINS, **args)
+        half = store.read(s, path).where(F.col("base_domain") == ONE_DOMAIN)
+        store.stage_load(half, path, "job-that-died")
+        return key_counts(store.read(s, path))
+
+    def load_counts(s, f):
+        """The row counts that loads return, per run."""
+        a = Archive(s, f)
+        path = session.run_folder(s, "counted")
+        args = {"glob": "*.gz", "prefix": "crawl=CRAWL-"}
+        runs = [(["2016", "2020"], DOMAINS, "append"), (["2020"], [ONE_DOMAIN], "replace"), (["2004"], DOMAINS, "append")]
+        found = [
+            (i, store.load_years(s, a.lines_path(), path, years, domains, mode=mode, **args))
+            for i, (years, domains, mode) in enumerate(runs)
+        ]
+        return s.createDataFrame(found, "run int, rows long")
+
+    def load_quarantine_repeated(s, f):
+        """Broken lines after three replacing loads: each of them once."""
+        a = Archive(s, f)
+        path = session.run_folder(s, "requarantined")
+        for _ in range(3):
+            store.load_years(
+                s, a.lines_path(), path, "all", DOMAINS, glob="*.gz", prefix="crawl=CRAWL-", mode="replace"
+            )
+        bad = store.read_quarantine(s, path)
+        return bad.groupBy("crawl_year", "error_type").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("line").alias("lines")
+        )
+
     def split(s, f):
         path = session.run_folder(s, "split")
         store.split_by_domain(Archive(s, f).captures().drop("base_domain"), path, DOMAINS)
@@ -524,6 +559,41 @@ def _tables() -> dict[str, Query]:
             ingest.append_unseen(stream, path, session.run_folder(s, "unseen-mark"), DOMAINS)
         return key_counts(store.read(s, path))
 
+    def lost_checkpoint(append):
+        """One year streamed, the checkpoint lost, then the whole archive, twice."""
+
+        def run(s, f):
+            a = Archive(s, f)
+            path = session.run_folder(s, "lost-checkpoint")
+            first, mark = f"{a.lines_path()}/crawl=CRAWL-2016", session.run_folder(s, "lost-mark")
+            append(ingest.capture_stream(s, first, "*.gz"), path, mark, DOMAINS)
+            store.remove(s, mark)
+            for _ in range(2):
+                append(ingest.capture_stream(s, a.lines_path(), "*.gz"), path, mark, DOMAINS)
+            return key_counts(store.read(s, path))
+
+        return run
+
+    def streamed_without_years(s, f):
+        """Captures of no year, redelivered to a fresh checkpoint under other file names."""
+        a = Archive(s, f)
+        path, copy = session.run_folder(s, "yearless"), session.run_folder(s, "yearless-copy")
+        s.read.option("recursiveFileLookup", "true").text(a.lines_path()).write.option("compression", "gzip").text(copy)
+        for i, folder in enumerate((a.lines_path(), copy)):
+            stream = ingest.capture_stream(s, folder, "*.gz", "no year in (this) path")
+            ingest.append_unseen(stream, path, session.run_folder(s, f"yearless-mark{i}"), DOMAINS)
+        return key_counts(store.read(s, path))
+
+    def streamed_half(s, f):
+        """A batch that wrote rows and died before its load counted is run again."""
+        a = Archive(s, f)
+        path, mark = session.run_folder(s, "half-batch"), session.run_folder(s, "half-mark")
+        ingest.load_new_files(ingest.capture_stream(s, a.lines_path(), "*.gz"), path, mark, DOMAINS)
+        store.remove(s, f"{path}/_live")
+        store.remove(s, f"{mark}/commits")
+        ingest.load_new_files(ingest.capture_stream(s, a.lines_path(), "*.gz"), path, mark, DOMAINS)
+        return key_counts(store.read(s, path))
+
     def exported(s, f):
         path = session.run_folder(s, "csv")
         store.write_csv(_reports()["q31_domain_year_matrix"](s, f), path)
@@ -562,6 +632,13 @@ def _tables() -> dict[str, Query]:
         "snk_propagate_dns": propagate,
         "snk_csv_export": exported,
         "snk_materialised_view": materialised,
+        "snk_load_interrupted": load_interrupted,
+        "snk_load_counts": load_counts,
+        "snk_load_quarantine_repeated": load_quarantine_repeated,
+        "str_lost_checkpoint": lost_checkpoint(ingest.load_new_files),
+        "str_unseen_lost_checkpoint": lost_checkpoint(ingest.append_unseen),
+        "str_unseen_without_years": streamed_without_years,
+        "str_half_batch": streamed_half,
         "str_load_new_files": streamed,
         "str_append_unseen": streamed_unseen,
         **{

@@ -148,13 +148,8 @@ def records(lines: DataFrame, typed: bool = True) -> DataFrame:
     )
 
 
-def errors(lines: DataFrame, typed: bool = True) -> DataFrame:
-    """Quarantined lines: ``file, line, error_type, error_message, raw_line_preview``.
-
-    One scan. Good lines collapse to one row per file and task before the
-    shuffle and only tell where the file starts; a bad line keeps its own row,
-    and its line number is its distance from that start.
-    """
+def _classified(lines: DataFrame, typed: bool = True) -> DataFrame:
+    """Parsed lines with ``error_type, error_message``, NULL for good ones."""
     parsed = _parse(lines)
     blob = F.col("_blob")
     other_json = ~_opens_object(blob) & (
@@ -178,28 +173,85 @@ def errors(lines: DataFrame, typed: bool = True) -> DataFrame:
         .when(F.col("error_type") == "JSONDecodeError", "third token is not one JSON object")
         .when(F.col("error_type") == "ConversionError", "status, length or offset is not an integer")
     )
-    marked = parsed.withColumn("error_type", kind).withColumn("error_message", message)
+    return parsed.withColumn("error_type", kind).withColumn("error_message", message)
+
+
+def _preview() -> Column:
+    return F.substring(F.btrim(F.col("value"), F.lit(_WHITESPACE)), 1, _PREVIEW)
+
+
+ERROR_COLUMNS = ["file", "line", "error_type", "error_message", "raw_line_preview"]
+
+
+def errors(lines: DataFrame, typed: bool = True) -> DataFrame:
+    """Quarantined lines: ``file, line, error_type, error_message, raw_line_preview``.
+
+    One scan. Good lines collapse to one row per file and task before the
+    shuffle and only tell where the file starts; a bad line keeps its own row,
+    and its line number is its distance from that start.
+    """
+    marked = _classified(lines, typed)
     bad = F.col("error_type").isNotNull()
     per_line = marked.groupBy(
         "file",
         F.when(bad, F.col("row")).alias("bad_row"),
         "error_type",
         "error_message",
-        F.when(
-            bad, F.substring(F.btrim(F.col("value"), F.lit(_WHITESPACE)), 1, _PREVIEW)
-        ).alias("raw_line_preview"),
+        F.when(bad, _preview()).alias("raw_line_preview"),
     ).agg(F.min("row").alias("row"))
     start = F.min("row").over(Window.partitionBy("file"))
     return (
         per_line.withColumn("_start", start)
         .where(F.col("bad_row").isNotNull())
-        .select(
-            "file",
-            (F.col("bad_row") - F.col("_start") + 1).alias("line"),
-            "error_type",
-            "error_message",
-            "raw_line_preview",
-        )
+        .withColumn("line", F.col("bad_row") - F.col("_start") + 1)
+        .select(*ERROR_COLUMNS)
+    )
+
+
+RECORD_LINE, OTHER_LINE, BROKEN_LINE = "record", "other", "broken"
+
+
+def outcomes(lines: DataFrame, domains=None) -> DataFrame:
+    """Every line once, parsed once, with its ``outcome``.
+
+    ``record`` rows carry the raw record columns, ``broken`` rows what the quarantine
+    needs, ``other`` rows (good lines of domains that are not wanted) only their file
+    and row, from which line numbers are counted. Columns of ``lines`` but the text stay.
+    """
+    marked = _classified(lines)
+    key = F.get(F.col("_tokens"), F.lit(0))
+    wanted = F.lit(True) if domains is None else dom.surt_domain(key, domains).isNotNull()
+    outcome = (
+        F.when(F.col("error_type").isNotNull(), BROKEN_LINE).when(wanted, RECORD_LINE).otherwise(OTHER_LINE)
+    )
+    split = computed_once(marked, {"outcome": outcome})
+    of_record = lambda c: F.when(F.col("outcome") == RECORD_LINE, c)
+    return split.select(
+        *[of_record(F.col("_record")[k]).alias(k) for k in JSON_KEYS],
+        of_record(key).alias("surtkey"),
+        of_record(F.get(F.col("_tokens"), F.lit(1))).alias("timestamp"),
+        *[c for c in lines.columns if c != "value"],
+        "error_type",
+        "error_message",
+        F.when(F.col("outcome") == BROKEN_LINE, _preview()).alias("raw_line_preview"),
+        "outcome",
+    )
+
+
+def records_of(staged: DataFrame) -> DataFrame:
+    """The records among written :func:`outcomes`, as :func:`records` gives them."""
+    dropped = ("error_type", "error_message", "raw_line_preview", "outcome")
+    return staged.where(F.col("outcome") == RECORD_LINE).drop(*dropped)
+
+
+def errors_of(staged: DataFrame) -> DataFrame:
+    """The quarantine among written :func:`outcomes`, with the crawl year of each line."""
+    starts = staged.groupBy("file").agg(F.min("row").alias("_start"))
+    broken = staged.where(F.col("outcome") == BROKEN_LINE)
+    return (
+        broken.join(starts, "file")
+        .withColumn("line", F.col("row") - F.col("_start") + 1)
+        .select(*ERROR_COLUMNS, "crawl_year")
     )
 
 

@@ -1,14 +1,20 @@
 """Incremental loading of capture files with Structured Streaming.
 
-The stream checkpoint remembers which files were loaded, so a second run picks
-up only new ones. Each micro-batch is written like a batch load, laid out by year
-and domain, into a plain table: what others append to it is read back. Its broken
-lines go to a quarantine folder. A batch that is run again, as it failed half way,
-adds only the captures that its first attempt did not.
+The stream checkpoint remembers which files were loaded, so a second run picks up
+only new ones. Each micro-batch is parsed once into a staged folder and becomes one
+load of the table (see ``tables.loads``), named after the query and the batch: the
+query's id is kept in its checkpoint, so a batch that runs again finds its load listed
+and does nothing, or overwrites what a first attempt left half written, while a new
+checkpoint never takes a batch of an older one for its own.
+
+Each load keeps the names of the files it read. Files that loads of other queries, or
+batch loads, have read are not loaded again, so a lost checkpoint costs a listing.
 """
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,7 +22,10 @@ from pyspark.sql.streaming import StreamingQuery
 from surtscope.config import TARGET_DOMAINS, YEAR_IN_PATH
 from surtscope.operators.reconcile import absent_from, with_keys_of
 from surtscope.sources import cdxj
-from surtscope.tables import store
+from surtscope.tables import files, loads, store
+
+_STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 def capture_stream(
@@ -26,7 +35,8 @@ def capture_stream(
     year_pattern: str = YEAR_IN_PATH,
     files_per_batch: int = 1000,
 ) -> DataFrame:
-    """Streaming lines of all files below a folder: ``value, file, crawl_year``."""
+    """Streaming lines of all files below a folder: ``value, file, crawl_year``; the year
+    is NULL where the path names none."""
     lines = (
         spark.readStream.option("pathGlobFilter", glob)
         .option("recursiveFileLookup", "true")
@@ -34,16 +44,37 @@ def capture_stream(
         .text(folder)
         .select("value", F.col("_metadata.file_path").alias("file"))
     )
-    return lines.withColumn("crawl_year", cdxj.year_from_path("file", year_pattern))
+    year = F.nullif(cdxj.year_from_path("file", year_pattern), F.lit(""))
+    return lines.withColumn("crawl_year", year)
+
+
+def _query_id(spark: SparkSession, checkpoint: str) -> str:
+    """Id of the query that owns a checkpoint folder."""
+    return json.loads(files.read_text(spark, f"{checkpoint}/metadata"))["id"]
+
+
+def _run(stream: DataFrame, batch_function, checkpoint: str) -> StreamingQuery:
+    query = (
+        stream.writeStream.foreachBatch(batch_function)
+        .option("checkpointLocation", checkpoint)
+        .trigger(availableNow=True)
+        .start()
+    )
+    query.awaitTermination()
+    return query
+
+
+def _unread(lines: DataFrame, path: str, source: str) -> DataFrame:
+    """Lines of files that no other query's load, and no batch load, has read."""
+    spark = lines.sparkSession
+    table = loads.live(spark, path)
+    known = loads.known_files(spark, path, table.not_from(source)) if table else None
+    return lines if known is None else lines.join(known, "file", "left_anti")
 
 
-def _add(table: DataFrame, fresh: DataFrame, path: str, domains) -> None:
-    """Append the captures of ``fresh`` that ``table`` lacks. Only the crawl years of
-    ``fresh`` are read of the table."""
-    key = store.CAPTURE_KEY
-    years = [r[0] for r in fresh.select("crawl_year").distinct().collect()]
-    seen = with_keys_of(table.where(F.col("crawl_year").isin(*years)), fresh, key)
-    store.write_captures(absent_from(fresh, seen, key), path, domains, "append")
+def _stage(batch: DataFrame, path: str, source: str, staged: str, domains) -> DataFrame:
+    numbered = batch.withColumn("row", F.monotonically_increasing_id())
+    return store.stage_lines(_unread(numbered, path, source), staged, domains)
 
 
 def load_new_files(
@@ -52,35 +83,41 @@ def load_new_files(
     """Load everything that is new, then stop. Returns the finished query.
 
     Broken lines go to ``quarantine``, ``<path>-errors`` if none is named, in a
-    folder for each batch that a second attempt overwrites.
+    folder for each load that a second attempt overwrites.
     """
     quarantine = quarantine or f"{path.rstrip('/')}-errors"
 
     def load(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        begun = f"{checkpoint}-ledger/{batch_id}.begun"
-        done = f"{checkpoint}-ledger/{batch_id}.done"
-        if store.exists(spark, done):
+        source = _query_id(spark, checkpoint)
+        name = f"stream-{source}-{batch_id}"
+        table = loads.live(spark, path)
+        if table and name in table.names():
             return
-        lines = batch.withColumn("row", F.monotonically_increasing_id())
-        typed = cdxj.typed_records(cdxj.records(lines), F.col("crawl_year"), domains)
-        if store.exists(spark, begun):
-            _add(store.read(spark, path), typed, path, domains)
-        else:
-            store.mark(spark, begun)
-            store.write_captures(typed, path, domains, "append")
-        store.write_csv(cdxj.errors(lines), f"{quarantine}/batch={batch_id}", "overwrite")
-        store.mark(spark, done)
+        staged_path = f"{path}/_staged/{name}"
+        staged = _stage(batch, path, source, staged_path, domains)
+        typed = cdxj.typed_records(cdxj.records_of(staged), F.col("crawl_year"))
+        loads.write_file_list(staged.select("file", "crawl_year"), path, name)
+        store.write_quarantine(staged, quarantine, name)
+        store.add_captures(typed, path, name, source, domains)
+        store.remove(spark, staged_path)
 
     store.ensure_table(stream.sparkSession, path)
-    query = (
-        stream.writeStream.foreachBatch(load)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return query
+    return _run(stream, load, checkpoint)
+
+
+def _stage_new_lines(stream: DataFrame, path: str, checkpoint: str, domains, quarantine: str) -> str:
+    """First half of :func:`append_unseen`: parse what is new into ``batch=…`` folders."""
+    staged, own = f"{checkpoint}/staged", f"{checkpoint}/lines"
+
+    def stage(batch: DataFrame, batch_id: int) -> None:
+        source = _query_id(batch.sparkSession, own)
+        rows = _stage(batch, path, source, f"{staged}/batch={batch_id}", domains)
+        store.write_quarantine(rows, quarantine, f"stream-{source}-{batch_id}")
+
+    files.make_folder(stream.sparkSession, staged)
+    _run(stream, stage, own)
+    return staged
 
 
 def append_unseen(
@@ -88,17 +125,60 @@ def append_unseen(
 ) -> StreamingQuery:
     """Append only captures whose key the table does not hold yet.
 
-    Unlike the plain load this also survives a lost checkpoint: replayed files find
-    their captures already there. All batches of a run are staged beside the
-    checkpoint and compared with the table once, at the end; a staged folder that a
-    failed run left is taken along by the next.
+    Two queries share the checkpoint folder. The first parses new files into a staged
+    folder. The second streams the staged records through a keyed state store, which
+    passes each capture key once, so a run costs what its new files hold however large
+    the table has grown. Only rows that others put into the table (batch loads, or a
+    query whose checkpoint was lost) are looked up in it, in the crawl years at hand,
+    as the state does not know them.
     """
     spark = stream.sparkSession
-    staged = f"{checkpoint}-staged"
-    query = load_new_files(stream, staged, checkpoint, domains, quarantine or f"{path.rstrip('/')}-errors")
     store.ensure_table(spark, path)
-    typed = [f.name for f in cdxj.typed_schema().fields]
-    fresh = store.read(spark, staged).select(*typed).dropDuplicates(store.CAPTURE_KEY)
-    _add(store.read(spark, path), fresh, path, domains)
-    store.remove(spark, staged)
+    staged = _stage_new_lines(stream, path, checkpoint, domains, quarantine or f"{path.rstrip('/')}-errors")
+    own, key = f"{checkpoint}/keys", store.CAPTURE_KEY
+    staged_schema = spark.createDataFrame([], "value string, file string, row long, crawl_year string")
+    schema = cdxj.outcomes(staged_schema).schema.add("batch", "long")
+    rows = spark.readStream.schema(schema).parquet(staged).drop("batch")
+    typed = cdxj.typed_records(cdxj.records_of(rows), F.col("crawl_year"))
+
+    def add(batch: DataFrame, batch_id: int) -> None:
+        session = batch.sparkSession
+        source = _query_id(session, own)
+        name = f"stream-{source}-{batch_id}"
+        table = loads.live(session, path)
+        if table and name in table.names():
+            return
+        passed = f"{path}/_staged/{name}"
+        batch.write.mode("overwrite").parquet(passed)  # the state store is asked once
+        fresh = session.read.schema(batch.schema).parquet(passed)
+        foreign = (table or loads.Live()).not_from(source)
+        if table is None or foreign.loads:
+            known = store.read(session, path) if table is None else loads.read(session, path, store.table_schema(), foreign)
+            years = fresh.select("crawl_year").distinct()
+            at_hand = known.join(years, known.crawl_year.eqNullSafe(years.crawl_year), "left_semi")
+            fresh = absent_from(fresh, with_keys_of(at_hand, fresh, key), key)
+        store.add_captures(fresh, path, name, source, domains)
+        store.remove(session, passed)
+
+    before = spark.conf.get(_STATE_STORE)
+    spark.conf.set(_STATE_STORE, _ROCKSDB)  # keys live on disk, not in executor memory
+    try:
+        query = _run(typed.dropDuplicates(key), add, own)
+    finally:
+        spark.conf.set(_STATE_STORE, before)
+    _note_files(spark, path, staged, _query_id(spark, own))
     return query
+
+
+def _note_files(spark: SparkSession, path: str, staged: str, source: str) -> None:
+    """Keep the names of staged files once all their rows are in the table, and drop the
+    staged rows. If a run dies before, their keys alone keep rows from coming twice."""
+    batches = sorted(files.names(spark, staged))
+    if not batches:
+        return
+    name = f"files-{source}-{batches[-1].removeprefix('batch=')}"
+    rows = spark.read.schema("file string, crawl_year string, batch long").parquet(staged)
+    loads.write_file_list(rows.select("file", "crawl_year"), path, name)
+    loads.publish(spark, path, name, source)
+    for batch in batches:
+        files.remove(spark, f"{staged}/{batch}")

@@ -1,13 +1,15 @@
 """Writing, splitting, migrating and publishing capture tables.
 
 Tables are Parquet folders partitioned by crawl year and domain. Nothing is
-updated in place: a changed table is written beside the old one, its row count
-is checked, and a catalog view is switched to it. The old folder stays until
-someone removes it, so a lost executor or a failed job never loses data.
+updated in place. Loads and streams write whole loads (see ``loads``), which readers
+see all or nothing of; a migrated table is written beside the old one, its row count
+is checked, and a catalog view is switched to it. The old rows stay until someone
+removes them, so a lost executor or a failed job never loses data.
 """
 
 from __future__ import annotations
 
+import uuid
 import warnings
 from collections.abc import Iterable
 from functools import reduce
@@ -21,6 +23,8 @@ from surtscope.operators import domains as dom
 from surtscope.operators.reconcile import absent_from
 from surtscope.plans.dns import DNS
 from surtscope.sources import cdxj
+from surtscope.tables import files, loads
+from surtscope.tables.files import exists, mark, remove  # noqa: F401
 
 PARTITIONS = ["crawl_year", "base_domain"]
 #: A capture is its place in an archive file; two records of one moment stay apart.
@@ -44,8 +48,12 @@ def enrich(captures: DataFrame, domains=TARGET_DOMAINS) -> DataFrame:
 
 
 def read(spark: SparkSession, path: str, schema=None) -> DataFrame:
-    """Read a table with a given schema: a year stays a string, columns keep their order."""
+    """Read a table with a given schema: a year stays a string, columns keep their order.
+    Of a table made of loads, the rows that count now."""
     schema = schema or table_schema()
+    table = loads.live(spark, path)
+    if table is not None:
+        return loads.read(spark, path, schema, table)
     return spark.read.schema(schema).parquet(path).select(*schema.fieldNames())
 
 
@@ -60,18 +68,31 @@ def _laid_out(df: DataFrame, partitions: list[str], sort: list[str]) -> DataFram
 
 
 def _save(df: DataFrame, path: str, mode: str, partitions: list[str]) -> int:
-    """Write and count. Mode ``replace`` swaps only the partitions that ``df`` has."""
+    """Write and count, without a second scan."""
     rows = Observation()
-    writer = df.observe(rows, F.count(F.lit(1)).alias("rows")).write
-    writer = writer.mode("overwrite" if mode == "replace" else mode).option("compression", "zstd")
-    if mode == "replace":
-        writer = writer.option("partitionOverwriteMode", "dynamic")
+    writer = df.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode(mode).option("compression", "zstd")
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.parquet(path)
     return rows.get["rows"]
 
 
+def new_load_name() -> str:
+    return f"job-{uuid.uuid4().hex}"
+
+
+def stage_load(df: DataFrame, path: str, name: str) -> int:
+    """Write rows as one load that does not count yet; returns the rows written."""
+    return _save(df, loads.folder(path, name), "overwrite", PARTITIONS)
+
+
+def _add_load(df: DataFrame, path: str, name: str, source: str, replaces=(), schema=None) -> int:
+    """Write rows as one load and make it count."""
+    written = stage_load(df, path, name)
+    loads.publish(df.sparkSession, path, name, source, replaces, schema)
+    return written
+
+
 def write(
     df: DataFrame,
     path: str,
@@ -79,16 +100,20 @@ def write(
     partitions: list[str] | None = None,
     sort: list[str] | None = None,
 ) -> int:
-    """Write or append a table and return the rows written, without a second scan."""
+    """Write or append a table and return the rows written, without a second scan.
+
+    Appending to a table made of loads adds a load.
+    """
     partitions = PARTITIONS if partitions is None else partitions
     sort = [c for c in (sort or ["surtkey"]) if c in df.columns]
-    return _save(_laid_out(df, partitions, sort) if partitions else df, path, mode, partitions)
+    rows = _laid_out(df, partitions, sort) if partitions else df
+    if mode == "append" and partitions == PARTITIONS and loads.live(df.sparkSession, path) is not None:
+        return _add_load(rows, path, new_load_name(), "append")
+    return _save(rows, path, mode, partitions)
 
 
-def write_captures(
-    typed: DataFrame, path: str, domains=TARGET_DOMAINS, mode: str = "errorifexists"
-) -> int:
-    """Write typed records as a captures table.
+def wide_captures(typed: DataFrame, domains=TARGET_DOMAINS) -> DataFrame:
+    """Typed records in the layout and with the columns of a captures table.
 
     Only the narrow records are shuffled and sorted; the 26 derived columns are
     computed afterwards, in the tasks that write them.
@@ -96,60 +121,60 @@ def write_captures(
     labelled = typed.withColumn("base_domain", domain_label("surtkey", domains))
     laid_out = _laid_out(labelled, PARTITIONS, ["surtkey"])
     wide = urls.with_all_surt_columns(urls.with_url_columns(laid_out))
-    columns = [f.name for f in table_schema().fields]
-    return _save(wide.select(*columns), path, mode, PARTITIONS)
+    return wide.select(*[f.name for f in table_schema().fields])
 
 
-def _file_system(spark: SparkSession, path: str):
-    """Hadoop file system and path object of a folder, for listings and markers only."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return place.getFileSystem(spark._jsc.hadoopConfiguration()), place
+def write_captures(
+    typed: DataFrame, path: str, domains=TARGET_DOMAINS, mode: str = "errorifexists"
+) -> int:
+    """Write typed records as a captures table."""
+    return _save(wide_captures(typed, domains), path, mode, PARTITIONS)
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    fs, place = _file_system(spark, path)
-    return fs.exists(place)
+def add_captures(
+    typed: DataFrame, path: str, name: str, source: str, domains=TARGET_DOMAINS, replaces=()
+) -> int:
+    """Add typed records to a captures table as one load."""
+    return _add_load(wide_captures(typed, domains), path, name, source, replaces)
 
 
-def mark(spark: SparkSession, path: str) -> None:
-    """Create an empty marker file."""
-    fs, place = _file_system(spark, path)
-    fs.create(place, True).close()
+def stage_lines(lines: DataFrame, path: str, domains=TARGET_DOMAINS) -> DataFrame:
+    """Parse lines once and write what became of them; a second attempt overwrites."""
+    parsed = cdxj.outcomes(lines, domains)
+    parsed.write.mode("overwrite").option("compression", "zstd").partitionBy("outcome").parquet(path)
+    return lines.sparkSession.read.schema(parsed.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    fs, place = _file_system(spark, path)
-    fs.delete(place, True)
+def write_quarantine(staged: DataFrame, quarantine: str, name: str) -> None:
+    """The broken lines of one load, in a folder that a second attempt overwrites."""
+    writer = cdxj.errors_of(staged).write.mode("overwrite").option("header", "true")
+    writer.partitionBy("crawl_year").csv(f"{quarantine}/{loads.LOAD}={name}")
 
 
-def _partition_files(spark: SparkSession, path: str, years: list[str]) -> dict[str, set[str]]:
-    """File names by partition folder of some crawl years of a table."""
-    found: dict[str, set[str]] = {}
-    for year in years:
-        fs, place = _file_system(spark, f"{path}/crawl_year={year}")
-        for folder in fs.listStatus(place) if fs.exists(place) else ():
-            files = fs.listStatus(folder.getPath())
-            found[folder.getPath().toString()] = {f.getPath().getName() for f in files}
-    return found
+def read_quarantine(spark: SparkSession, path: str, quarantine: str | None = None) -> DataFrame:
+    """Broken lines of the loads that count now: ``file, line, error_type, error_message,
+    raw_line_preview, crawl_year``. Lines of a load that died half way are left out."""
+    quarantine = quarantine or f"{path.rstrip('/')}-errors"
+    text = ", ".join(f"{c} {'long' if c == 'line' else 'string'}" for c in [*cdxj.ERROR_COLUMNS, "crawl_year", loads.LOAD])
+    rows = spark.read.schema(text).option("header", "true").csv(quarantine)
+    rows = rows.withColumn("raw_line_preview", F.coalesce("raw_line_preview", F.lit("")))  # empty lines
+    table = loads.live(spark, path) or loads.Live()
+    dead = [(F.col(loads.LOAD) == n) & F.col("crawl_year").eqNullSafe(y) for n, y in loads.hidden_parts(table)]
+    listed = rows.where(F.col(loads.LOAD).isin(*table.names()))
+    return reduce(lambda df, c: df.where(~c), dead, listed).drop(loads.LOAD)
 
 
-def _replace_years(typed: DataFrame, path: str, domains, years: list[str]) -> int:
-    """Swap all partitions of ``years``: those that the new rows have are overwritten,
-    and those that still hold old files afterwards are removed. Repeating a run that
-    died in between ends in the same table."""
-    spark = typed.sparkSession
-    before = _partition_files(spark, path, years)
-    written = write_captures(typed, path, domains, "replace")
-    after = _partition_files(spark, path, years)
-    for folder, files in before.items():
-        if files and files <= after.get(folder, set()):
-            remove(spark, folder)
-    return written
+def _clear_quarantine(spark: SparkSession, path: str, quarantine: str) -> None:
+    """Remove broken lines of years that later loads replaced."""
+    for name, year in loads.hidden_parts(loads.live(spark, path)):
+        remove(spark, f"{quarantine}/{loads.LOAD}={name}/crawl_year={year}")
 
 
 def append(df: DataFrame, path: str, partitions: list[str] | None = None) -> int:
     """Append by column name: the frame is put in the table's column order."""
-    target = df.sparkSession.read.parquet(path).columns
+    spark = df.sparkSession
+    known = loads.live(spark, path) is not None
+    target = read(spark, path).columns if known else spark.read.parquet(path).columns
     missing = set(target) - set(df.columns)
     if missing:
         raise ValueError(f"frame lacks table columns {sorted(missing)}")
@@ -170,12 +195,14 @@ def load_years(
 ) -> int:
     """Load the CDXJ files of some years in one job; returns rows written.
 
-    ``append`` adds to what is there, so loading a year twice doubles it;
-    ``replace`` swaps all partitions of the loaded years and can be repeated. A
-    row's year is the year of the folder that was asked for. Years without a
-    folder are named in a warning and the others are loaded; if there is none at
-    all, that is an error. Broken lines are appended to the CSV folder
-    ``quarantine``, ``<path>-errors`` if none is named.
+    Lines are parsed once, into a staged folder by outcome from which the load and
+    its quarantine are written. ``append`` adds to what is there, so loading a year
+    twice doubles it; ``replace`` swaps the loaded years in one step and can be
+    repeated: readers see the old years or the new ones, whole. A row's year is the
+    year of the folder that was asked for. Years without a folder are named in a
+    warning and the others are loaded; if there is none at all, that is an error.
+    Broken lines go to the CSV folder ``quarantine``, ``<path>-errors`` if none is
+    named, each load to a folder of its own; those of replaced years are removed.
     """
     wanted = resolve_years(years, allowed)
     folders = dict(zip(wanted, cdxj.year_folders(data_dir, wanted, allowed, prefix)))
@@ -189,12 +216,19 @@ def load_years(
         DataFrame.unionByName,
         [cdxj.read_lines(spark, folders[y], glob, True).withColumn("crawl_year", F.lit(y)) for y in present],
     )
-    typed = cdxj.typed_records(cdxj.records(lines), F.col("crawl_year"), domains)
-    if mode == "replace":
-        written = _replace_years(typed, path, domains, present)
-    else:
-        written = write_captures(typed, path, domains, mode)
-    write_csv(cdxj.errors(lines), quarantine or f"{path.rstrip('/')}-errors", "append")
+    if mode in ("errorifexists", "error") and exists(spark, path):
+        raise ValueError(f"{path} exists already")
+    if mode not in ("append", "replace", "errorifexists", "error"):
+        raise ValueError(f"unknown mode {mode!r}")
+    name, quarantine = new_load_name(), quarantine or f"{path.rstrip('/')}-errors"
+    staged_path = f"{path}/_staged/{name}"
+    staged = stage_lines(lines, staged_path, domains)
+    typed = cdxj.typed_records(cdxj.records_of(staged), F.col("crawl_year"))
+    loads.write_file_list(staged.select("file", "crawl_year"), path, name)
+    write_quarantine(staged, quarantine, name)
+    written = add_captures(typed, path, name, "load", domains, present if mode == "replace" else ())
+    _clear_quarantine(spark, path, quarantine)
+    remove(spark, staged_path)
     return written
 
 
@@ -260,15 +294,20 @@ def migrate_surt_columns(df: DataFrame, path: str, partitions: list[str] | None
 
 
 def publish(spark: SparkSession, name: str, path: str) -> None:
-    """Point the catalog view ``name`` at a finished table folder.
+    """Point the catalog view ``name`` at a finished table folder, in one step.
 
-    Partition values are read from folder names; the view keeps them strings.
+    Partition values are read from folder names; the view keeps them strings. A view
+    of a table made of loads shows the loads that count now.
     """
-    columns = ", ".join(
-        f"CAST(`{c}` AS STRING) AS `{c}`" if c in PARTITIONS else f"`{c}`"
-        for c in spark.read.parquet(path).columns
-    )
-    spark.sql(f"CREATE OR REPLACE VIEW {name} AS SELECT {columns} FROM parquet.`{path}`")
+    if loads.live(spark, path) is not None:
+        query = loads.view_sql(spark, path, table_schema().fieldNames())
+    else:
+        columns = ", ".join(
+            f"CAST(`{c}` AS STRING) AS `{c}`" if c in PARTITIONS else f"`{c}`"
+            for c in spark.read.parquet(path).columns
+        )
+        query = f"SELECT {columns} FROM parquet.`{path}`"
+    spark.sql(f"CREATE OR REPLACE VIEW {name} AS {query}")
 
 
 def create_temp_view(df: DataFrame, name: str) -> DataFrame:

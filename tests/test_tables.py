@@ -265,3 +265,164 @@ def test_shared_folder_setting_is_read_from_the_session(spark):
 
     assert session.run_folder(spark, "x").startswith(spark.conf.get("spark.checkpoint.dir"))
     assert session.run_folder(spark, "x") != session.run_folder(spark, "x")
+
+
+def shown(df, *columns):
+    return sorted(map(str, (df.select(*columns) if columns else df).collect()))
+
+
+def test_a_run_killed_before_the_switch_leaves_the_old_year(spark, load, archive, monkeypatch):
+    path, n = load()
+    before = shown(store.read(spark, path))
+    store.publish(spark, "killed_view", path)
+
+    def die(*args, **kwargs):
+        raise KeyboardInterrupt
+
+    with monkeypatch.context() as m:
+        m.setattr(store.loads, "publish", die)
+        with pytest.raises(KeyboardInterrupt):
+            store.load_years(spark, str(archive / "cdxj"), path, ["2020"], ["ed.gov"], YEARS, mode="replace")
+    assert shown(store.read(spark, path)) == before
+    assert store.read_quarantine(spark, path).count() == 8
+    load(["2020"], mode="replace")
+    assert shown(store.read(spark, path)) == before
+    assert spark.table("killed_view").count() == n  # the view shows the list it was made from
+    store.publish(spark, "killed_view", path)
+    assert spark.table("killed_view").count() == n
+
+
+def test_a_replaced_year_is_one_step_for_readers(spark, load):
+    """A reader that started with the older list still finds its rows."""
+    path, n = load()
+    old = store.loads.live(spark, path)
+    load(["2020"], mode="replace")
+    assert store.loads.read(spark, path, store.table_schema(), old).count() == n
+    assert store.read(spark, path).count() == n
+    assert store.loads.vacuum(spark, path) == 1 and store.loads.vacuum(spark, path) == 0
+    assert store.read(spark, path).count() == n
+
+
+def test_two_writers_both_count(spark, load, archive):
+    """The second to publish takes the first one's list as its base."""
+    path, n = load(["2020"])
+    rows = store.read(spark, path)
+    first = store.loads.live(spark, path)
+    store.append(rows.limit(2), path)
+    assert store.files.create_once(spark, f"{path}/_live/{first.version + 1:08d}.json", "{}") is False
+    store.append(rows.limit(3), path)
+    assert store.read(spark, path).count() == n + 5
+
+
+def test_repeated_replace_leaves_each_broken_line_once(spark, load):
+    path, _ = load()
+    for _ in range(3):
+        load(mode="replace")
+    raw = spark.read.option("header", "true").csv(f"{path}-errors")
+    raw = raw.withColumns({"line": F.col("line").cast("long"), "raw_line_preview": F.coalesce("raw_line_preview", F.lit(""))})
+    want = shown(raw, "file", "line", "error_type", "raw_line_preview")
+    assert len(want) == len(set(want)) == 8
+    assert shown(store.read_quarantine(spark, path), "file", "line", "error_type", "raw_line_preview") == want
+
+
+def test_a_load_parses_the_archive_once(spark, load, archive, monkeypatch):
+    """One text scan in all plans of a load, and the quarantine that two passes give."""
+    texts = []
+    parse = cdxj._parse
+    monkeypatch.setattr(cdxj, "_parse", lambda lines: texts.append(1) or parse(lines))
+    path, _ = load()
+    assert len(texts) == 1
+    lines = cdxj.read_lines(spark, str(archive / "cdxj"), recursive=True)
+    assert shown(cdxj.errors(lines)) == shown(store.read_quarantine(spark, path), *cdxj.ERROR_COLUMNS)
+
+
+def test_plain_tables_take_loads_and_streams(spark, load, archive):
+    path, n = load()
+    out = str(archive / "plain-first")
+    rows = store.read(spark, path)
+    store.write(rows.where("crawl_year = '2020'"), out)
+    store.load_years(spark, str(archive / "cdxj"), out, ["2024"], TARGETS, YEARS)
+    assert shown(store.read(spark, out)) == shown(rows)
+    store.publish(spark, "mixed_view", out)
+    assert shown(spark.table("mixed_view")) == shown(rows)
+    store.load_years(spark, str(archive / "cdxj"), out, ["2020"], TARGETS, YEARS, mode="replace")
+    assert shown(store.read(spark, out)) == shown(rows)
+    store.publish(spark, "mixed_view", out)
+    assert spark.table("mixed_view").count() == n
+    again = str(archive / "plain-unseen")
+    store.write(rows.where("crawl_year = '2020'").limit(5), again)
+    ingest.append_unseen(ingest.capture_stream(spark, str(archive / "cdxj")), again, str(archive / "pu"), TARGETS)
+    assert store.read(spark, again).count() == n
+
+
+@pytest.mark.parametrize("run", [ingest.load_new_files, ingest.append_unseen])
+def test_streams_after_a_lost_checkpoint_and_new_files(spark, load, archive, run):
+    """The same checkpoint path, emptied; a file that came meanwhile; then once more."""
+    _, n = load()
+    out, mark = str(archive / "lost"), str(archive / "lost-mark")
+
+    def go():
+        run(ingest.capture_stream(spark, str(archive / "cdxj")), out, mark, TARGETS)
+        return store.read(spark, out).count()
+
+    assert go() == n
+    store.remove(spark, mark)
+    late = [line("gov,ed)/late", "http://ed.gov/late", n=i) for i in range(7)]
+    write(archive / "cdxj" / "CRAWL-2024", "late.cdxj.gz", [*late, "broken"])
+    assert [go(), go()] == [n + 7, n + 7]
+    assert store.read_quarantine(spark, out).count() == spark.read.option("header", "true").csv(f"{out}-errors").count()
+
+
+def test_unseen_append_of_lines_without_a_year(spark, archive):
+    """Captures of no year are compared like others, also those that come in another file."""
+    body = [line("gov,ed)/a", "http://ed.gov/a", n=i) for i in range(5)]
+    write(archive / "bare", "one.cdxj.gz", body)
+    out = str(archive / "bare-table")
+    for i, extra in enumerate((0, 1, 2)):
+        write(archive / "bare", f"more{i}.cdxj.gz", body[:3] + [line("gov,ed)/b", "http://ed.gov/b", n=k) for k in range(extra)])
+        stream = ingest.capture_stream(spark, str(archive / "bare"), files_per_batch=1)
+        ingest.append_unseen(stream, out, str(archive / f"bare-mark{i}"), TARGETS)
+    table = store.read(spark, out)
+    assert table.count() == 5 + 2 and table.where("crawl_year is null").count() == 7
+
+
+def test_a_batch_that_dies_half_way_is_completed(spark, load, archive, monkeypatch):
+    """Rows written, the load not listed: the next run gives exactly the captures."""
+    _, n = load()
+    publish, failures = store.loads.publish, []
+    for run in (ingest.load_new_files, ingest.append_unseen):
+        out, mark = str(archive / f"half-{run.__name__}"), str(archive / f"half-{run.__name__}-mark")
+
+        def die(spark_, path, name, *rest, **more):
+            if not failures:
+                failures.append(name)
+                raise RuntimeError("killed")
+            return publish(spark_, path, name, *rest, **more)
+
+        failures.clear()
+        with monkeypatch.context() as m:
+            m.setattr(store.loads, "publish", die)
+            with pytest.raises(Exception, match="killed"):
+                run(ingest.capture_stream(spark, str(archive / "cdxj")), out, mark, TARGETS)
+            assert failures and store.read(spark, out).count() == 0
+        for _ in range(2):
+            run(ingest.capture_stream(spark, str(archive / "cdxj")), out, mark, TARGETS)
+            assert store.read(spark, out).count() == n
+
+
+def test_a_stream_does_not_load_what_a_batch_load_has_read(spark, load, archive):
+    path, n = load()
+    ingest.load_new_files(ingest.capture_stream(spark, str(archive / "cdxj")), path, str(archive / "after-batch"), TARGETS)
+    assert store.read(spark, path).count() == n
+
+
+def test_unseen_append_asks_its_state_and_not_the_table(spark, load, archive, monkeypatch):
+    """Captures that another file repeats are dropped without a look at the table."""
+    _, n = load()
+    out, mark = str(archive / "keyed"), str(archive / "keyed-mark")
+    ingest.append_unseen(ingest.capture_stream(spark, str(archive / "cdxj")), out, mark, TARGETS)
+    again = [line("gov,doi)/", "http://doi.gov/", "2020", n=i) for i in range(30)] + [line("gov,ed)/new", "http://ed.gov/new", "2020")]
+    write(archive / "cdxj" / "CRAWL-2020", "again.cdxj.gz", again)
+    monkeypatch.setattr(ingest, "absent_from", None)
+    ingest.append_unseen(ingest.capture_stream(spark, str(archive / "cdxj")), out, mark, TARGETS)
+    assert store.read(spark, out).count() == n + 1
