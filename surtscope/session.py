@@ -5,9 +5,12 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 _CHECKPOINT_KEY = "spark.checkpoint.dir"
+#: Temporary folders of local sessions, by application.
+_LOCAL_FOLDERS: dict[str, str] = {}
 
 
 def build_session(app_name: str = "surtscope", cpus: int | None = None) -> SparkSession:
@@ -53,9 +56,14 @@ def shared_folder(spark: SparkSession) -> str:
         return configured.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"set {_CHECKPOINT_KEY} to a folder shared by all executors")
-    folder = tempfile.mkdtemp(prefix="surtscope-")
-    spark.conf.set(_CHECKPOINT_KEY, folder)
-    return folder
+    app = spark.sparkContext.applicationId
+    if app not in _LOCAL_FOLDERS:
+        _LOCAL_FOLDERS[app] = tempfile.mkdtemp(prefix="surtscope-")
+    try:
+        spark.conf.set(_CHECKPOINT_KEY, _LOCAL_FOLDERS[app])
+    except PySparkException:
+        pass  # Spark 4.1 takes this setting at the start of a session only
+    return _LOCAL_FOLDERS[app]
 
 
 def run_folder(spark: SparkSession, label: str) -> str:
