@@ -82,6 +82,10 @@ overlap AS (
     )
 )
 
+_NESTED = ", ".join(
+    f"('{d}', '{','.join(reversed(d.split('.')))},')"
+    for d in ("com", "example.com", "cheap-pills.example.com", "net", "example.org", "thther.example.org")
+)
 _P_TARGET = "target"
 _DNS = "mime = 'text/dns' AND target = 'example.com'"
 _MATRIX = f"""
@@ -439,6 +443,18 @@ SELECT crawl_year, target AS base_domain, count(*) AS n, count(DISTINCT surtkey)
         "snk_load_absent_year": w(per_cell.format(bd="target", where="target IS NOT NULL AND crawl_year = '2020'")),
         "snk_load_quarantine": with_errors('SELECT error_type, count(*) AS "count" FROM errors GROUP BY 1'),
         "str_stream_quarantine": with_errors('SELECT error_type, count(*) AS "count" FROM errors GROUP BY 1'),
+        "snk_load_index": x("SELECT crawl_year, COALESCE(target, 'other') AS base_domain, subset, count(*) AS n FROM p GROUP BY ALL"),
+        "snk_load_index_counts": x('SELECT crawl_year, count(*) AS "rows" FROM p GROUP BY 1'),
+        "snk_load_index_evolved": x("""SELECT crawl_year, COALESCE(target, 'other') AS base_domain, count(*) AS n,
+  count(subset) FILTER (WHERE crawl_year <> '2004') AS subsets,
+  count(*) FILTER (WHERE crawl_year = '2008' AND subset = 'warc') AS noted,
+  CAST(sum(CASE WHEN crawl_year = '2012' THEN 10000000000 * CAST(fetch_status AS BIGINT) ELSE fetch_status END) AS BIGINT) AS statuses
+FROM p WHERE crawl_year IN ('2004', '2008', '2012') GROUP BY ALL"""),
+        "src_index_file_count": w("SELECT count(*) AS files FROM (SELECT DISTINCT crawl_year, event_id // 50000 FROM raw)"),
+        "prj_label_any_depth": w(f""", nested(d, stem) AS (VALUES {_NESTED}),
+hit AS (SELECT event_id, arg_max(d, length(n.stem)) AS domain FROM c LEFT JOIN nested n
+        ON starts_with(translate(surtkey, ':)', ',,'), n.stem) GROUP BY event_id)
+SELECT domain, count(*) AS n FROM hit GROUP BY 1"""),
         "snk_load_interrupted": w(per_cell.format(bd="target", where="target IS NOT NULL AND crawl_year IN ('2016', '2020')")),
         "snk_load_counts": w("""SELECT 0 AS run, count(*) AS "rows" FROM c WHERE target IS NOT NULL AND crawl_year IN ('2016', '2020')
 UNION ALL SELECT 1, count(*) FROM c WHERE target = 'example.com' AND crawl_year = '2020'

@@ -22,11 +22,13 @@ from surtscope.operators import rollups as roll
 from surtscope.plans import content, dedup, dns, hosts, overview, reconcile, structure
 from surtscope.sources import cdxj, derived, index, inventory
 from surtscope.streaming import ingest
-from surtscope.tables import store
+from surtscope.tables import index_table, store
 
 DOMAINS = ("example.com", "example.net")
 ONE_DOMAIN = "example.com"
 SUFFIX = ".com"
+#: Domains of one to three labels, some within others.
+NESTED_DOMAINS = ("com", "example.com", "cheap-pills.example.com", "net", "example.org", "thther.example.org")
 YEARS = CRAWL_YEARS
 
 _WRITTEN: dict[tuple[str, str, str], str] = {}
@@ -70,8 +72,19 @@ class Archive:
 
         return self._once("index", make)
 
+    def index_folders(self) -> dict[str, str]:
+        return {y: f"{self.index_path()}/crawl=CRAWL-{y}" for y in YEARS if y != "2024"}
+
+    def index_table_path(self) -> str:
+        """The index files loaded into a table with stored domain labels."""
+
+        def make(path: str) -> None:
+            index_table.load_years(self.spark, self.index_folders(), path, list(self.index_folders()), DOMAINS)
+
+        return self._once("index-table", make)
+
     def index(self) -> DataFrame:
-        return index.read_partitioned(self.spark, self.index_path())
+        return index_table.read(self.spark, self.index_table_path())
 
     def lines_path(self) -> str:
         """Gzip capture files, one per crawl year and shard, with broken lines in between."""
@@ -301,9 +314,7 @@ def _sources() -> dict[str, Query]:
         )
 
     def named_years(s, f):
-        root = Archive(s, f).index_path()
-        folders = {y: f"{root}/crawl=CRAWL-{y}" for y in YEARS if y != "2024"}
-        rows = index.read_years(s, folders, ["2004", "2020"])
+        rows = index.read_years(s, Archive(s, f).index_folders(), ["2004", "2020"])
         return rows.groupBy("crawl_year", "subset").agg(F.count(F.lit(1)).alias("rows"))
 
     def pruned_year(s, f):
@@ -363,7 +374,16 @@ def _sources() -> dict[str, Query]:
         )
         return rows.groupBy("domain", "folder").agg(F.count(F.lit(1)).alias("n"))
 
+    def by_nested_dimension(s, f):
+        """Labels of one to three levels, nested ones included; no capture is lost."""
+        rows = dom.label_from_dimension(
+            Archive(s, f).captures(), dom.domain_dimension(s, NESTED_DOMAINS, SUFFIX), how="left"
+        )
+        return rows.groupBy("domain").agg(F.count(F.lit(1)).alias("n"))
+
     return {
+        "src_index_file_count": lambda s, f: index.file_count(s, Archive(s, f).lines_path(), "*.gz"),
+        "prj_label_any_depth": by_nested_dimension,
         "src_cdxj_load": loaded,
         "src_cdxj_convert": converted,
         "src_dns_lines": lambda s, f: cdxj.captures(
@@ -501,6 +521,43 @@ def _tables() -> dict[str, Query]:
             F.count(F.lit(1)).alias("n"), F.sum("line").alias("lines")
         )
 
+    def load_index(s, f):
+        """Two loads and a replacing one; the table keeps the label of every row."""
+        a = Archive(s, f)
+        path = session.run_folder(s, "index-loads")
+        for years, mode in ((["2004", "2016"], "append"), (["2008", "2012", "2020"], "append"), (["2016"], "replace")):
+            index_table.load_years(s, a.index_folders(), path, years, DOMAINS, mode=mode)
+        rows = index_table.read(s, path)
+        return rows.groupBy("crawl_year", "base_domain", "subset").agg(F.count(F.lit(1)).alias("n"))
+
+    def load_index_counts(s, f):
+        """The rows of each year as a load returns them."""
+        a = Archive(s, f)
+        years = list(a.index_folders())
+        found = index_table.load_years(s, a.index_folders(), session.run_folder(s, "index-counted"), years, DOMAINS)
+        return s.createDataFrame(list(found.items()), "crawl_year string, rows long")
+
+    def load_index_evolved(s, f):
+        """Crawls whose files differ in columns, their order and types end in one table."""
+        a = Archive(s, f)
+        path, folders = session.run_folder(s, "index-evolved"), {}
+        of_year = {y: s.read.parquet(p) for y, p in a.index_folders().items() if y in ("2004", "2008", "2012")}
+        variants = {
+            "2004": of_year["2004"].drop("subset").withColumn("fetch_status", F.col("fetch_status").cast("smallint")),
+            "2008": of_year["2008"].select(*reversed(of_year["2008"].columns)).withColumn("note", F.lower("subset")),
+            "2012": of_year["2012"].withColumn("fetch_status", F.col("fetch_status").cast("bigint") * 10_000_000_000),
+        }
+        for year, df in variants.items():
+            folders[year] = session.run_folder(s, f"index-variant-{year}")
+            df.write.parquet(folders[year])
+            index_table.load_years(s, folders, path, [year], DOMAINS)
+        return index_table.read(s, path).groupBy("crawl_year", "base_domain").agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count("subset").alias("subsets"),
+            F.count_if(F.col("note") == "warc").alias("noted"),
+            F.sum("fetch_status").alias("statuses"),
+        )
+
     def split(s, f):
         path = session.run_folder(s, "split")
         store.split_by_domain(Archive(s, f).captures().drop("base_domain"), path, DOMAINS)
@@ -508,7 +565,7 @@ def _tables() -> dict[str, Query]:
 
     def split_index(s, f):
         path = session.run_folder(s, "split-index")
-        store.split_by_domain(Archive(s, f).index(), path, DOMAINS, "url_surtkey")
+        store.split_by_domain(Archive(s, f).index().drop("base_domain"), path, DOMAINS, "url_surtkey")
         return store.read_domain(s, path, ONE_DOMAIN).groupBy("base_domain", "subset").agg(
             F.count(F.lit(1)).alias("n")
         )
@@ -632,6 +689,9 @@ def _tables() -> dict[str, Query]:
         "snk_propagate_dns": propagate,
         "snk_csv_export": exported,
         "snk_materialised_view": materialised,
+        "snk_load_index": load_index,
+        "snk_load_index_counts": load_index_counts,
+        "snk_load_index_evolved": load_index_evolved,
         "snk_load_interrupted": load_interrupted,
         "snk_load_counts": load_counts,
         "snk_load_quarantine_repeated": load_quarantine_repeated,

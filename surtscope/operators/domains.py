@@ -55,6 +55,11 @@ def _first_listed(candidates: list[Column], domains) -> Column:
     return F.when(best.isNotNull(), F.get(listed, (best - 1).cast("int")))
 
 
+def _surt_prefix(key: Column, labels: int) -> Column:
+    """The first ``labels`` host labels of a SURT key, ``''`` if it has fewer."""
+    return F.regexp_extract(key, r"^([^,):]+(?:,[^,):]+){%d})[,):]" % (labels - 1), 1)
+
+
 def surt_domain(surtkey: Column | str, domains=TARGET_DOMAINS) -> Column:
     """Target domain of a SURT key, else NULL.
 
@@ -64,7 +69,7 @@ def surt_domain(surtkey: Column | str, domains=TARGET_DOMAINS) -> Column:
     key = F.col(surtkey) if isinstance(surtkey, str) else surtkey
     candidates = []
     for labels, members in _by_label_count(domains).items():
-        prefix = F.regexp_extract(key, r"^([^,):]+(?:,[^,):]+){%d})[,):]" % (labels - 1), 1)
+        prefix = _surt_prefix(key, labels)
         prefixes = [urls.surt_prefix_of(d) for d in members]
         name = F.array_join(F.reverse(F.split(prefix, ",")), ".")
         candidates.append(F.when(prefix.isin(*prefixes), name))
@@ -117,12 +122,19 @@ def is_one_domain(surtkey: Column | str, domain: str) -> Column:
 
 
 def only_targets(df: DataFrame, domains=TARGET_DOMAINS, surtkey: str = "surtkey") -> DataFrame:
+    """Rows of target domains: by folder if labels are stored."""
+    if LABEL in df.columns:
+        return df.where(F.col(LABEL).isin(*domains))
     return df.where(target(df, domains, surtkey).isNotNull())
 
 
 def outside_targets(df: DataFrame, domains=TARGET_DOMAINS, surtkey: str = "surtkey") -> DataFrame:
-    """Rows of no target domain. A row without a key is in neither set."""
-    return df.where(F.col(surtkey).isNotNull() & target(df, domains, surtkey).isNull())
+    """Rows of no target domain, by folder if labels are stored. A row without a key is in
+    neither set."""
+    with_key = df.where(F.col(surtkey).isNotNull())
+    if LABEL in df.columns:
+        return with_key.where(~F.coalesce(F.col(LABEL).isin(*domains), F.lit(False)))
+    return with_key.where(target(df, domains, surtkey).isNull())
 
 
 def is_host_in(host: Column | str, domain: str) -> Column:
@@ -130,11 +142,42 @@ def is_host_in(host: Column | str, domain: str) -> Column:
     return (h == domain) | h.endswith("." + domain)
 
 
-def label_from_dimension(df: DataFrame, dimension: DataFrame, surtkey: str = "surtkey") -> DataFrame:
-    """Label rows from a dimension table of two-label domains, any number of them.
+def label_from_dimension(
+    df: DataFrame, dimension: DataFrame, surtkey: str = "surtkey", how: str = "inner"
+) -> DataFrame:
+    """Label rows from a dimension table of domains of any depth, any number of them.
+
+    Adds ``domain`` and the other dimension columns. Of nested domains the deepest that
+    holds the row counts. ``how="inner"`` drops rows of no listed domain, ``"left"`` keeps
+    them with NULLs. A domain that is listed twice is an error of the dimension and raises.
 
-    Adds ``domain`` and the other dimension columns; rows of no listed domain
-    drop out.
+    The dimension says which numbers of labels occur (one row, read first). Each key is
+    tried with its prefixes of these lengths only, longest first: the lengths are joined
+    in turn, each join taking what the longer ones left, so no key is copied and no row
+    is lost.
     """
-    prefix = F.regexp_extract(F.col(surtkey), r"^([^,):]+,[^,):]+)[,):]", 1)
-    return df.withColumn("surt_prefix", prefix).join(dimension, "surt_prefix").drop("surt_prefix")
+    columns = [c for c in dimension.columns if c != "surt_prefix"]
+    known = dimension.withColumn("_labels", F.size(F.split("surt_prefix", ",")))
+    found = known.agg(
+        F.sort_array(F.collect_set("_labels"), asc=False).alias("depths"),
+        (F.count("surt_prefix") - F.count_distinct("surt_prefix")).alias("twice"),
+    ).first()
+    if found.twice:
+        raise ValueError("a domain is listed twice in the dimension")
+    if how not in ("inner", "left"):
+        raise ValueError(f"unknown join {how!r}")
+    rest = df
+    for depth in found.depths:
+        level = known.where(F.col("_labels") == depth).select(
+            F.col("surt_prefix").alias("_prefix"), F.struct(*columns).alias(f"_hit{depth}")
+        )
+        rest = rest.withColumn("_prefix", _surt_prefix(F.col(f"`{surtkey}`"), depth)).join(level, "_prefix", "left").drop("_prefix")
+    hit = F.coalesce(*[F.col(f"_hit{d}") for d in found.depths]) if found.depths else None
+    if hit is None:
+        empty = [F.lit(None).cast(dimension.schema[c].dataType).alias(c) for c in columns]
+        none = df.select("*", *empty)
+        return none if how == "left" else none.limit(0)
+    labelled = rest.withColumn("_hit", hit)
+    if how == "inner":
+        labelled = labelled.where(F.col("_hit").isNotNull())
+    return labelled.select(*[F.col(f"`{c}`") for c in df.columns], *[F.col(f"_hit.`{c}`").alias(c) for c in columns])

@@ -131,6 +131,12 @@ def write_captures(
     return _save(wide_captures(typed, domains), path, mode, PARTITIONS)
 
 
+def add_rows(df: DataFrame, path: str, sort: list[str], source: str, replaces=(), schema=None) -> int:
+    """Add rows that carry their year and domain to a table as one load; ``schema`` becomes
+    the table's in the same step."""
+    return _add_load(_laid_out(df, PARTITIONS, sort), path, new_load_name(), source, replaces, schema)
+
+
 def add_captures(
     typed: DataFrame, path: str, name: str, source: str, domains=TARGET_DOMAINS, replaces=()
 ) -> int:

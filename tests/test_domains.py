@@ -1,3 +1,4 @@
+import pytest
 from pyspark.sql import functions as F
 
 from surtscope.operators import domains as dom
@@ -79,3 +80,40 @@ def test_dimension_join_matches_the_expression(spark, rows, collect):
         "domain",
     )
     assert joined == plain
+
+
+NESTED = ("gov", "doi.gov", "data.doi.gov", "ed.gov", "a.b.ed.gov")
+
+
+def longest(key, domains):
+    """The deepest domain whose SURT prefix ends at a label of the key."""
+    hits = [d for d in domains if key and any(key.startswith(",".join(reversed(d.split("."))) + end) for end in ",):")]
+    return max(hits, key=lambda d: d.count("."), default=None)
+
+
+def test_labels_of_any_depth(spark, rows, collect):
+    keys = [k for k, _ in KEYS] + ["gov,doi,data)/x", "gov,doi,data,deep)/", "gov,doi,database)/", "gov)/", "gov,ed,b,a:81)/", "com,x)/", "", None, "gov,doi,data"]
+    df = rows("surtkey string, `_hit` int, folder int", *[(k, 1, 2) for k in keys]).drop("folder")
+    for domains in (NESTED, NESTED[:1], NESTED[2:], NESTED[1:2], ()):
+        dim = dom.domain_dimension(spark, domains) if domains else dom.domain_dimension(spark, ("x.gov",)).limit(0)
+        want = [(k, longest(k, domains)) for k in keys]
+        left = dom.label_from_dimension(df, dim, how="left")
+        assert left.columns == ["surtkey", "_hit", "domain", "folder"]
+        assert sorted(map(str, [(r.surtkey, r.domain) for r in left.collect()])) == sorted(map(str, want))
+        inner = dom.label_from_dimension(df, dim)
+        assert sorted(map(str, [(r.surtkey, r.domain) for r in inner.collect()])) == sorted(str(w) for w in want if w[1])
+
+
+def test_dimension_must_list_a_domain_once(spark, rows):
+    dim = dom.domain_dimension(spark, ("doi.gov", "ed.gov"))
+    with pytest.raises(ValueError, match="twice"):
+        dom.label_from_dimension(rows("surtkey string", ("gov,doi)/",)), dim.union(dim))
+
+
+def test_stored_labels_are_partition_filters(spark, rows, tmp_path):
+    data = rows("url_surtkey string, base_domain string", ("gov,doi)/", "doi.gov"), ("gov,x)/", "other"), (None, None))
+    data.write.partitionBy("base_domain").parquet(str(tmp_path / "t"))
+    df = spark.read.parquet(str(tmp_path / "t"))
+    for kept, n in ((dom.only_targets(df, ("doi.gov",), "url_surtkey"), 1), (dom.outside_targets(df, ("doi.gov",), "url_surtkey"), 1)):
+        plan = kept._jdf.queryExecution().executedPlan().toString()
+        assert "base_domain" in plan.split("PartitionFilters: [")[1].split("]")[0] and kept.count() == n
