@@ -11,8 +11,9 @@ import sys
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 import corpus_pipeline as pipeline
+from test_near_texts import brute as near_copies
 from test_secrets import brute as secrets_of
-from test_text_operators import ODD, brute_components, brute_fingerprint
+from test_text_operators import ODD
 
 FOLDER = "/root/testdata/sf0.001"
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -43,8 +44,7 @@ def test_stages(spark, docs):
     assert exact.columns == COLUMNS and keyed(exact) == want
 
     near = pipeline.drop_near(spark, exact, FOLDER)
-    parts = brute_components([(i, brute_fingerprint(t)) for i, t in want])
-    stay = {i for i, _, c in parts if i == c}
+    stay = {i for i, c in near_copies(list(want)) if i == c}
     assert {r.doc_id for r in near.collect()} == stay and near.columns == COLUMNS
 
     masked = pipeline.mask_secrets(spark, docs, FOLDER)
