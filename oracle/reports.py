@@ -443,6 +443,10 @@ SELECT crawl_year, target AS base_domain, count(*) AS n, count(DISTINCT surtkey)
         "snk_load_absent_year": w(per_cell.format(bd="target", where="target IS NOT NULL AND crawl_year = '2020'")),
         "snk_load_quarantine": with_errors('SELECT error_type, count(*) AS "count" FROM errors GROUP BY 1'),
         "str_stream_quarantine": with_errors('SELECT error_type, count(*) AS "count" FROM errors GROUP BY 1'),
+        "snk_report_base_refreshed": w(f"""SELECT crawl_year, base_domain, count(*) AS n, CAST(sum(k) AS BIGINT) AS captures
+FROM (SELECT crawl_year, target AS base_domain, surthost_seg_2, {', '.join(f'surtpath_{i}' for i in range(1, 6))}, {_EXT} AS e, {_DEPTH} AS d, mime, count(*) AS k
+      FROM c WHERE target IS NOT NULL AND crawl_year IN ('2008', '2012', '2020') OR target = 'example.com' AND crawl_year = '2016'
+      GROUP BY ALL) GROUP BY 1, 2"""),
         "snk_load_index": x("SELECT crawl_year, COALESCE(target, 'other') AS base_domain, subset, count(*) AS n FROM p GROUP BY ALL"),
         "snk_load_index_counts": x('SELECT crawl_year, count(*) AS "rows" FROM p GROUP BY 1'),
         "snk_load_index_evolved": x("""SELECT crawl_year, COALESCE(target, 'other') AS base_domain, count(*) AS n,

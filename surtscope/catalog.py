@@ -22,7 +22,7 @@ from surtscope.operators import rollups as roll
 from surtscope.plans import content, dedup, dns, hosts, overview, reconcile, structure
 from surtscope.sources import cdxj, derived, index, inventory
 from surtscope.streaming import ingest
-from surtscope.tables import index_table, store
+from surtscope.tables import index_table, report_table, store
 
 DOMAINS = ("example.com", "example.net")
 ONE_DOMAIN = "example.com"
@@ -486,6 +486,24 @@ def _tables() -> dict[str, Query]:
         bad = s.read.option("header", "true").csv(f"{path}-errors")
         return cdxj.error_type_counts(bad)
 
+    def refreshed_base(s, f):
+        """A report base kept up by deltas while years are loaded, replaced and appended."""
+        a = Archive(s, f)
+        path, base = session.run_folder(s, "followed"), session.run_folder(s, "followed-base")
+        args = {"glob": "*.gz", "prefix": "crawl=CRAWL-"}
+        steps = [
+            lambda: store.load_years(s, a.lines_path(), path, ["2012", "2016"], DOMAINS, **args),
+            lambda: store.load_years(s, a.lines_path(), path, ["2020"], DOMAINS, **args),
+            lambda: store.load_years(s, a.lines_path(), path, ["2016"], [ONE_DOMAIN], mode="replace", **args),
+            lambda: store.append(a.captures().where((F.col("crawl_year") == "2008") & (F.col("base_domain") != "other")), path),
+        ]
+        for step in steps:
+            step()
+            report_table.refresh(s, path, base)
+        return report_table.read(s, base).groupBy("crawl_year", "base_domain").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("capture_count").alias("captures")
+        )
+
     def load_interrupted(s, f):
         """A replacing load that dies before its switch leaves the old years whole."""
         a = Archive(s, f)
@@ -689,6 +707,7 @@ def _tables() -> dict[str, Query]:
         "snk_propagate_dns": propagate,
         "snk_csv_export": exported,
         "snk_materialised_view": materialised,
+        "snk_report_base_refreshed": refreshed_base,
         "snk_load_index": load_index,
         "snk_load_index_counts": load_index_counts,
         "snk_load_index_evolved": load_index_evolved,

@@ -8,8 +8,8 @@ listed loads, and a partition filter skips replaced years, so they see a load wh
 not at all, and a year is swapped whole. A job that dies before that step has changed nothing; run
 again under the same name it overwrites its own folder.
 
-The list also holds the table's schema where that may grow (see ``index_table``), and
-beside the rows each load keeps the names of the files it read, so that another run
+The list also holds the table's schema where that may grow (see ``index_table``), or a
+note of what a derived table was made from (see ``report_table``), and beside the rows each load keeps the names of the files it read, so that another run
 can tell what is loaded already. Rows of a plain ``crawl_year=…`` layout at the same
 path count as a first load.
 """
@@ -53,6 +53,7 @@ class Live:
     version: int = 0
     loads: tuple[Load, ...] = ()
     schema: str | None = None
+    note: str | None = None
 
     def names(self) -> set[str]:
         return {load.name for load in self.loads}
@@ -72,7 +73,12 @@ def live(spark: SparkSession, path: str) -> Live | None:
         return None
     content = json.loads(files.read_text(spark, _version_path(path, max(found))))
     loads = tuple(Load(x["name"], x["source"], tuple(x["years"]), tuple(x["hidden"])) for x in content["loads"])
-    return Live(max(found), loads, content["schema"])
+    return Live(max(found), loads, content["schema"], content["note"])
+
+
+def years_of(spark: SparkSession, path: str, name: str) -> tuple[str | None, ...]:
+    """Years of a load whose folders are still there."""
+    return _years_below(spark, path if name == PLAIN else folder(path, name))
 
 
 def _years_below(spark: SparkSession, folder: str) -> tuple[str | None, ...]:
@@ -80,7 +86,7 @@ def _years_below(spark: SparkSession, folder: str) -> tuple[str | None, ...]:
     return tuple(None if y == _NULL_YEAR else y for y in sorted(found))
 
 
-def _current(spark: SparkSession, path: str) -> Live:
+def current(spark: SparkSession, path: str) -> Live:
     """The newest list, or one that holds the plain rows found at ``path``."""
     found = live(spark, path)
     if found is not None:
@@ -102,30 +108,32 @@ def write_file_list(names: DataFrame, path: str, name: str) -> None:
     names.distinct().write.mode("overwrite").partitionBy(YEAR).parquet(file_list_folder(path, name))
 
 
-def publish(spark: SparkSession, path: str, name: str, source: str, replaces=(), schema: T.StructType | None = None) -> Live:
-    """Make a written load count; ``replaces`` are the years it stands for alone.
+def publish(spark: SparkSession, path: str, name: str, source: str, replaces=(), schema: T.StructType | None = None, note: str | None = None) -> Live:
+    """Make a written load count; ``replaces`` are the years it stands for alone, ``note``
+    is kept with the list.
 
     Another job may publish at the same moment: whoever comes second takes the new
     list as its base and tries again. A name that is listed stays as it is.
     """
     years = _years_below(spark, folder(path, name))
     while True:
-        base = _current(spark, path)
+        base = current(spark, path)
         if name in base.names():
             return base
         earlier = tuple(
             replace(load, hidden=tuple(y for y in load.years if y in load.hidden or y in replaces)) for load in base.loads
         )
         text = schema.json() if schema else base.schema
-        new = Live(base.version + 1, (*earlier, Load(name, source, years)), text)
-        content = json.dumps({"loads": [asdict(load) for load in new.loads], "schema": new.schema}, indent=1)
+        new = Live(base.version + 1, (*earlier, Load(name, source, years)), text, note or base.note)
+        listed = [asdict(load) for load in new.loads]
+        content = json.dumps({"loads": listed, "schema": new.schema, "note": new.note}, indent=1)
         files.make_folder(spark, f"{path}/_live")
         if files.create_once(spark, _version_path(path, new.version), content):
             files.remove(spark, _version_path(path, new.version - _KEPT_VERSIONS))
             return new
 
 
-def _any_year(years: list[str | None]) -> Column:
+def any_year(years: list[str | None]) -> Column:
     named = [y for y in years if y is not None]
     condition = F.col(YEAR).isin(*named) if named else F.lit(False)
     return condition | F.col(YEAR).isNull() if None in years else condition
@@ -142,7 +150,7 @@ def _plain_years(table: Live) -> list[str | None]:
 def read(spark: SparkSession, path: str, schema: T.StructType, table: Live | None = None) -> DataFrame:
     """Rows that count, with the columns of ``schema`` in their order; ``table`` may be an
     older list or a part of one."""
-    table = table or _current(spark, path)
+    table = table or current(spark, path)
     columns = [F.col(f"`{c}`") for c in schema.fieldNames()]
     full = T.StructType([*schema.fields, T.StructField(LOAD, T.StringType())])
     frames = []
@@ -152,7 +160,7 @@ def read(spark: SparkSession, path: str, schema: T.StructType, table: Live | Non
         rows = spark.read.schema(full).option("basePath", path).parquet(*folders)
         for load in listed:
             if load.hidden:
-                rows = rows.where((F.col(LOAD) != load.name) | _any_year(load.live_years()))
+                rows = rows.where((F.col(LOAD) != load.name) | any_year(load.live_years()))
         frames.append(rows.select(*columns))
     plain = _plain_years(table)
     if plain:
@@ -172,14 +180,14 @@ def known_files(spark: SparkSession, path: str, table: Live) -> DataFrame | None
     if not whole and not cut:
         return None
     parts = [F.col(LOAD).isin(*whole)] if whole else []
-    parts += [(F.col(LOAD) == load.name) & ~F.coalesce(_any_year(list(load.hidden)), F.lit(False)) for load in cut]
+    parts += [(F.col(LOAD) == load.name) & ~F.coalesce(any_year(list(load.hidden)), F.lit(False)) for load in cut]
     rows = spark.read.schema(f"file string, {YEAR} string, {LOAD} string").parquet(f"{path}/_files")
     return rows.where(reduce(lambda a, b: a | b, parts)).select("file").distinct()
 
 
 def view_sql(spark: SparkSession, path: str, columns: list[str]) -> str:
     """A query over the rows that count now, for a view."""
-    table = _current(spark, path)
+    table = current(spark, path)
 
     def quoted(years) -> str:
         named = ", ".join(f"'{y}'" for y in years if y is not None)
@@ -214,7 +222,7 @@ def vacuum(spark: SparkSession, path: str) -> int:
     """Remove the folders of replaced years; returns how many. Readers that still work
     with an older list must be done."""
     removed = 0
-    for name, year in hidden_parts(_current(spark, path)):
+    for name, year in hidden_parts(current(spark, path)):
         place = f"{path if name == PLAIN else folder(path, name)}/{YEAR}={_NULL_YEAR if year is None else year}"
         if files.exists(spark, place):
             files.remove(spark, place)

@@ -86,10 +86,10 @@ def stage_load(df: DataFrame, path: str, name: str) -> int:
     return _save(df, loads.folder(path, name), "overwrite", PARTITIONS)
 
 
-def _add_load(df: DataFrame, path: str, name: str, source: str, replaces=(), schema=None) -> int:
+def _add_load(df: DataFrame, path: str, name: str, source: str, replaces=(), schema=None, note=None) -> int:
     """Write rows as one load and make it count."""
     written = stage_load(df, path, name)
-    loads.publish(df.sparkSession, path, name, source, replaces, schema)
+    loads.publish(df.sparkSession, path, name, source, replaces, schema, note)
     return written
 
 
@@ -131,10 +131,12 @@ def write_captures(
     return _save(wide_captures(typed, domains), path, mode, PARTITIONS)
 
 
-def add_rows(df: DataFrame, path: str, sort: list[str], source: str, replaces=(), schema=None) -> int:
-    """Add rows that carry their year and domain to a table as one load; ``schema`` becomes
-    the table's in the same step."""
-    return _add_load(_laid_out(df, PARTITIONS, sort), path, new_load_name(), source, replaces, schema)
+def add_rows(
+    df: DataFrame, path: str, sort: list[str], source: str, replaces=(), schema=None, note: str | None = None
+) -> int:
+    """Add rows that carry their year and domain to a table as one load; ``schema`` and
+    ``note`` become the table's in the same step."""
+    return _add_load(_laid_out(df, PARTITIONS, sort), path, new_load_name(), source, replaces, schema, note)
 
 
 def add_captures(

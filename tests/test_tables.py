@@ -5,8 +5,9 @@ from pyspark.sql import functions as F
 
 from surtscope.functions import urls
 from surtscope.sources import cdxj, index, inventory
+from surtscope.plans import structure
 from surtscope.streaming import ingest
-from surtscope.tables import store
+from surtscope.tables import report_table, store
 
 from test_cdxj import BROKEN, DNS_LINE, FINE, GOOD, write
 
@@ -426,3 +427,52 @@ def test_unseen_append_asks_its_state_and_not_the_table(spark, load, archive, mo
     monkeypatch.setattr(ingest, "absent_from", None)
     ingest.append_unseen(ingest.capture_stream(spark, str(archive / "cdxj")), out, mark, TARGETS)
     assert store.read(spark, out).count() == n + 1
+
+
+def test_report_base_follows_the_captures(spark, load, archive, monkeypatch):
+    """Equal to a full rebuild after every kind of change, from the parts that changed."""
+    base, reads = str(archive / "base"), []
+    read = store.loads.read
+
+    def watched(session, path, schema, table=None):
+        if table is not None and not path.endswith("base"):
+            reads.append({(x.name, y) for x in table.loads for y in x.live_years()})
+        return read(session, path, schema, table)
+
+    def check(years):
+        with monkeypatch.context() as m:
+            m.setattr(store.loads, "read", watched)
+            reads.clear()
+            assert report_table.refresh(spark, path, base) == years
+        seen = {y for part in reads for _, y in part}
+        whole = structure.report_base(store.read(spark, path), ["base_domain"])
+        columns = whole.columns
+        assert shown(report_table.read(spark, base), *columns) == shown(whole, *columns)
+        assert report_table.refresh(spark, path, base) == []
+        return seen
+
+    path, _ = load(["2020"])
+    assert check(["2020"]) == {"2020"}
+    load(["2024"])
+    assert check(["2024"]) == {"2024"}
+    store.load_years(spark, str(archive / "cdxj"), path, ["2020"], ["ed.gov"], YEARS, mode="replace")
+    assert check(["2020"]) == {"2020"}
+    store.append(store.read(spark, path).where("mime = 'text/dns'"), path)
+    assert check(["2024"]) == {"2024"}
+    load(["2024"], mode="replace")
+    store.loads.vacuum(spark, path)  # the replaced rows are gone: the year is counted anew
+    assert check(["2024"]) == {"2024"}
+
+
+def test_a_refresh_that_dies_changes_nothing(spark, load, archive, monkeypatch):
+    path, n = load(["2020"])
+    base = str(archive / "dying-base")
+    report_table.refresh(spark, path, base)
+    load(["2024"])
+    with monkeypatch.context() as m:
+        m.setattr(store.loads, "publish", lambda *a, **k: 1 / 0)
+        with pytest.raises(ZeroDivisionError):
+            report_table.refresh(spark, path, base)
+    assert report_table.read(spark, base).agg(F.sum("capture_count")).first()[0] == n
+    assert report_table.refresh(spark, path, base) == ["2024"]
+    assert report_table.read(spark, base).agg(F.sum("capture_count")).first()[0] == store.read(spark, path).count()
