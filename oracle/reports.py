@@ -447,6 +447,10 @@ SELECT crawl_year, target AS base_domain, count(*) AS n, count(DISTINCT surtkey)
 FROM (SELECT crawl_year, target AS base_domain, surthost_seg_2, {', '.join(f'surtpath_{i}' for i in range(1, 6))}, {_EXT} AS e, {_DEPTH} AS d, mime, count(*) AS k
       FROM c WHERE target IS NOT NULL AND crawl_year IN ('2008', '2012', '2020') OR target = 'example.com' AND crawl_year = '2016'
       GROUP BY ALL) GROUP BY 1, 2"""),
+        "snk_size_histogram_refreshed": w(_SIZE.replace("> 0 GROUP", "> 0 AND (target IS NOT NULL AND crawl_year = '2020' OR target = 'example.com' AND crawl_year = '2016') GROUP")),
+        "snk_propagate_dns_all": w("SELECT target AS base_domain, mime, count(*) AS n FROM c WHERE target IS NOT NULL GROUP BY 1, 2"),
+        "snk_propagate_dns_counts": w("""SELECT target AS base_domain, count(*) FILTER (WHERE mime = 'text/dns') AS "rows" FROM c WHERE target IS NOT NULL GROUP BY 1"""),
+        "snk_split_key_ranges": w("SELECT target AS base_domain, count(*) AS n, count(*) > 200 AS several_files, CAST(0 AS BIGINT) AS overlaps FROM c WHERE target IS NOT NULL GROUP BY 1"),
         "snk_load_index": x("SELECT crawl_year, COALESCE(target, 'other') AS base_domain, subset, count(*) AS n FROM p GROUP BY ALL"),
         "snk_load_index_counts": x('SELECT crawl_year, count(*) AS "rows" FROM p GROUP BY 1'),
         "snk_load_index_evolved": x("""SELECT crawl_year, COALESCE(target, 'other') AS base_domain, count(*) AS n,

@@ -11,7 +11,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from surtscope import session
@@ -103,6 +103,13 @@ class Archive:
     def lines(self) -> DataFrame:
         return cdxj.read_lines(self.spark, self.lines_path(), "*.gz", recursive=True)
 
+    def size_histogram(self) -> DataFrame:
+        def make(path: str) -> None:
+            store.write(content.size_histogram(self.captures()), path, sort=["length"])
+
+        path = self._once("size-histogram", make)
+        return self.spark.read.schema(content.size_histogram(self.captures()).schema).parquet(path)
+
     def report_base(self) -> DataFrame:
         def make(path: str) -> None:
             base = structure.report_base(self.captures(), ["base_domain"])
@@ -175,7 +182,7 @@ def _reports() -> dict[str, Query]:
         "q15_status_classes": c(content.status_classes_by_domain, DOMAINS),
         "q16_mime_distribution": c(content.mime_distribution),
         "q17_mime_mismatch": c(content.mime_mismatch),
-        "q18_size_statistics": c(content.size_statistics, DOMAINS),
+        "q18_size_statistics": lambda s, f: content.size_statistics(Archive(s, f).size_histogram(), DOMAINS),
         "q19_digest_duplication": c(content.digest_duplication, DOMAINS),
         "q20_digest_duplication_overall": c(content.digest_duplication_overall),
         "q21_captures_per_month": c(overview.captures_per_month),
@@ -504,6 +511,53 @@ def _tables() -> dict[str, Query]:
             F.count(F.lit(1)).alias("n"), F.sum("capture_count").alias("captures")
         )
 
+    def refreshed_sizes(s, f):
+        """Size statistics from a histogram that follows loaded and replaced years."""
+        a = Archive(s, f)
+        path, sizes = session.run_folder(s, "sized"), session.run_folder(s, "sizes")
+        for years, domains, mode in ((["2016", "2020"], DOMAINS, "append"), (["2016"], [ONE_DOMAIN], "replace")):
+            store.load_years(
+                s, a.lines_path(), path, years, domains, glob="*.gz", prefix="crawl=CRAWL-", mode=mode
+            )
+            report_table.refresh(s, path, sizes, content.size_histogram)
+        return content.size_statistics(report_table.read(s, sizes, content.size_histogram), DOMAINS)
+
+    def propagate_all(s, f):
+        """DNS records into the tables of all domains, twice; the second run adds nothing."""
+        a = Archive(s, f)
+        root = session.run_folder(s, "all-domains")
+        full = a.captures().drop("base_domain")
+        store.split_by_domain(without_dns(a).drop("base_domain"), root, DOMAINS)
+        for _ in range(2):
+            store.propagate_dns_all(full, root, DOMAINS)
+        return s.read.parquet(root).groupBy("base_domain", "mime").agg(F.count(F.lit(1)).alias("n"))
+
+    def propagate_counts(s, f):
+        """The rows that a run over all domains adds to each, as it returns them."""
+        a = Archive(s, f)
+        root = session.run_folder(s, "all-counted")
+        store.split_by_domain(without_dns(a).drop("base_domain"), root, DOMAINS)
+        added = store.propagate_dns_all(a.captures().drop("base_domain"), root, DOMAINS)
+        return s.createDataFrame(list(added.items()), "base_domain string, rows long")
+
+    def split_ranges(s, f):
+        """Domains split into files of key ranges; ``overlaps`` counts files that begin
+        before the one before them ends."""
+        path = session.run_folder(s, "split-ranges")
+        rows = Archive(s, f).captures().drop("base_domain")
+        store.split_by_domain(rows, path, DOMAINS, rows_per_file=200)
+        files = (
+            s.read.parquet(path)
+            .groupBy("base_domain", F.input_file_name().alias("file"))
+            .agg(F.count(F.lit(1)).alias("n"), F.min("surtkey").alias("first"), F.max("surtkey").alias("last"))
+        )
+        before = F.lag("last").over(Window.partitionBy("base_domain").orderBy("first", "last"))
+        return files.withColumn("before", before).groupBy("base_domain").agg(
+            F.sum("n").alias("n"),
+            (F.count(F.lit(1)) > 1).alias("several_files"),
+            F.count_if(F.col("first") < F.col("before")).alias("overlaps"),
+        )
+
     def load_interrupted(s, f):
         """A replacing load that dies before its switch leaves the old years whole."""
         a = Archive(s, f)
@@ -708,6 +762,10 @@ def _tables() -> dict[str, Query]:
         "snk_csv_export": exported,
         "snk_materialised_view": materialised,
         "snk_report_base_refreshed": refreshed_base,
+        "snk_size_histogram_refreshed": refreshed_sizes,
+        "snk_propagate_dns_all": propagate_all,
+        "snk_propagate_dns_counts": propagate_counts,
+        "snk_split_key_ranges": split_ranges,
         "snk_load_index": load_index,
         "snk_load_index_counts": load_index_counts,
         "snk_load_index_evolved": load_index_evolved,

@@ -6,6 +6,9 @@ there. Here values fall into blocks of ``2**16`` neighbours. A first pass counts
 rows per block, the block that holds each wanted rank is found on that small
 histogram, and a second pass counts single values in those blocks only. Nothing
 but counts is shuffled, and no task holds more than one block of one group.
+
+A stored histogram (values with a ``capture_count``) gives the same quantiles as the
+rows it was made from; histograms of parts merge by adding their counts.
 """
 
 from __future__ import annotations
@@ -13,21 +16,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from surtscope.functions.measures import WEIGHT
+
 _BLOCK_BITS = 16
 
 
 def blocked(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """``keys, _v, _block`` of the rows that have a value; keys must not be NULL."""
+    """``keys, _v, _block, _rows`` of the rows that have a value, ``_rows`` being how many a
+    row stands for; keys must not be NULL."""
     # never NULL after the filter; saying so keeps Spark from adding NULL tests
     # to some uses of this frame, which would stop their reuse
     number = F.coalesce(F.col(value).cast("long"), F.lit(0).cast("long"))
-    rows = df.where(F.col(value).isNotNull()).select(*keys, number.alias("_v"))
+    weight = F.coalesce(F.col(WEIGHT), F.lit(0)) if WEIGHT in df.columns else F.lit(1)
+    rows = df.where(F.col(value).isNotNull()).select(*keys, number.alias("_v"), weight.cast("long").alias("_rows"))
     return rows.withColumn("_block", F.shiftright(F.col("_v"), _BLOCK_BITS))
 
 
 def _wanted_ranks(rows: DataFrame, keys: list[str], wanted: dict[str, float]) -> DataFrame:
     """Per block the wanted ranks that lie in it, counted from its first row."""
-    blocks = rows.groupBy(*keys, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    blocks = rows.groupBy(*keys, "_block").agg(F.sum("_rows").alias("_n"))
     by_block = Window.partitionBy(*keys).orderBy("_block")
     whole = Window.partitionBy(*keys)
     placed = blocks.select(
@@ -76,7 +83,7 @@ def quantiles(
     """
     ranks = _wanted_ranks(rows, keys, wanted)
     values = rows.join(ranks.select(*keys, "_block"), [*keys, "_block"], "left_semi")
-    counts = values.groupBy(*keys, "_block", "_v").agg(F.count(F.lit(1)).alias("_n"))
+    counts = values.groupBy(*keys, "_block", "_v").agg(F.sum("_rows").alias("_n"))
     in_block = Window.partitionBy(*keys, "_block").orderBy("_v")
     hit = (
         counts.join(ranks, [*keys, "_block"])

@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from surtscope.config import TARGET_DOMAINS
+from surtscope.functions import urls
 from surtscope.functions.measures import (
     STATUS_CLASSES,
+    WEIGHT,
     duplication_pct,
     ratio_pct,
     rint_digits,
@@ -52,18 +54,28 @@ def mime_mismatch(captures: DataFrame) -> DataFrame:
     ).withColumn("mismatch_pct", ratio_pct(F.col("mismatched"), F.col("total"), 2))
 
 
+def size_histogram(captures: DataFrame) -> DataFrame:
+    """Captures of each record size by year and domain: one scan, and all that size
+    statistics need. Histograms of parts of a table add up to that of the whole."""
+    reg_domain = urls.stored_or(captures, "reg_domain", urls.registered_domain())
+    rows = captures.where(F.col("length") > 0).withColumn("reg_domain", reg_domain)
+    return roll.compact(rows, ["crawl_year", "base_domain", "reg_domain", "length"])
+
+
 def size_statistics(captures: DataFrame, domains=TARGET_DOMAINS) -> DataFrame:
-    """Record sizes per domain, in narrow passes that shuffle only counts."""
+    """Record sizes per domain, of captures or of a stored :func:`size_histogram`, in
+    narrow passes that shuffle only counts."""
+    kept = [c for c in ("length", WEIGHT) if c in captures.columns]
     rows = captures.where(F.col("length") > 0).select(
-        dom.registered_or_other(captures, domains).alias("base_domain"), "length"
+        dom.registered_or_other(captures, domains).alias("base_domain"), *kept
     )
     keys = ["base_domain"]
     sizes = quant.blocked(rows, keys, "length")
     basic = sizes.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"),
+        F.sum("_rows").alias("n"),
         F.min("_v").alias("min_bytes"),
         F.max("_v").alias("max_bytes"),
-        F.sum("_v").alias("total_bytes"),
+        F.sum(F.col("_v") * F.col("_rows")).alias("total_bytes"),
     )
     exact = quant.quantiles(sizes, keys, {"median": 0.5, "p95": 0.95})
     return (

@@ -18,7 +18,7 @@ import json
 import warnings
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -88,7 +88,7 @@ def table_schema(spark: SparkSession, path: str) -> T.StructType | None:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """The whole table: its columns, then ``crawl_year`` and ``base_domain``."""
     table = loads.live(spark, path)
-    if table is None:
+    if table is None or table.schema is None:
         raise FileNotFoundError(f"no index table at {path}")
     columns = T.StructType.fromJson(json.loads(table.schema))
     partitions = [T.StructField(c, T.StringType()) for c in store.PARTITIONS]
@@ -129,8 +129,6 @@ def load_years(
     )
     has_key = KEY in schema.fieldNames()
     labelled = rows.withColumn(dom.LABEL, label(domains) if has_key else F.lit(None).cast("string"))
-    counts = Observation()
-    counted = labelled.observe(counts, *[F.count_if(F.col(loads.YEAR) == y).alias(y) for y in present])
+    counts = {y: F.count_if(F.col(loads.YEAR) == y) for y in present}
     replaces = present if mode == "replace" else ()
-    store.add_rows(counted, path, [KEY] if has_key else [], "index", replaces, schema)
-    return {y: counts.get[y] for y in present}
+    return store.add_rows(labelled, path, [KEY] if has_key else [], "index", counts, replaces, schema)

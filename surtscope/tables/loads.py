@@ -108,6 +108,20 @@ def write_file_list(names: DataFrame, path: str, name: str) -> None:
     names.distinct().write.mode("overwrite").partitionBy(YEAR).parquet(file_list_folder(path, name))
 
 
+def _written(spark: SparkSession, path: str, table: Live) -> bool:
+    """Write a list; False if another writer has that version."""
+    content = {"loads": [asdict(load) for load in table.loads], "schema": table.schema, "note": table.note}
+    files.make_folder(spark, f"{path}/_live")
+    return files.create_once(spark, _version_path(path, table.version), json.dumps(content, indent=1))
+
+
+def begin(spark: SparkSession, path: str) -> None:
+    """See that the table has a list before the first folder of a load is written, so that
+    no reader takes such a folder for rows that count."""
+    if live(spark, path) is None:
+        _written(spark, path, replace(current(spark, path), version=1))
+
+
 def publish(spark: SparkSession, path: str, name: str, source: str, replaces=(), schema: T.StructType | None = None, note: str | None = None) -> Live:
     """Make a written load count; ``replaces`` are the years it stands for alone, ``note``
     is kept with the list.
@@ -125,10 +139,7 @@ def publish(spark: SparkSession, path: str, name: str, source: str, replaces=(),
         )
         text = schema.json() if schema else base.schema
         new = Live(base.version + 1, (*earlier, Load(name, source, years)), text, note or base.note)
-        listed = [asdict(load) for load in new.loads]
-        content = json.dumps({"loads": listed, "schema": new.schema, "note": new.note}, indent=1)
-        files.make_folder(spark, f"{path}/_live")
-        if files.create_once(spark, _version_path(path, new.version), content):
+        if _written(spark, path, new):
             files.remove(spark, _version_path(path, new.version - _KEPT_VERSIONS))
             return new
 

@@ -9,12 +9,13 @@ removes them, so a lost executor or a failed job never loses data.
 
 from __future__ import annotations
 
+import math
 import uuid
 import warnings
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from surtscope.config import CRAWL_YEARS, TARGET_DOMAINS, YEAR_FOLDER_PREFIX, resolve_years
@@ -67,14 +68,24 @@ def _laid_out(df: DataFrame, partitions: list[str], sort: list[str]) -> DataFram
     return df.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *sort)
 
 
-def _save(df: DataFrame, path: str, mode: str, partitions: list[str]) -> int:
-    """Write and count, without a second scan."""
-    rows = Observation()
-    writer = df.observe(rows, F.count(F.lit(1)).alias("rows")).write.mode(mode).option("compression", "zstd")
+def _save_observed(df: DataFrame, path: str, mode: str, partitions: list[str], metrics: dict[str, Column]) -> dict:
+    """Write, and return the aggregates of what was written without a second scan.
+
+    They are taken from the rows as they reach the writer: below a shuffle, adaptive
+    execution may drop them together with a stage that turned out empty.
+    """
+    seen = Observation()
+    named = [c.alias(name) for name, c in metrics.items()]
+    writer = df.observe(seen, *named).write.mode(mode).option("compression", "zstd")
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.parquet(path)
-    return rows.get["rows"]
+    return seen.get
+
+
+def _save(df: DataFrame, path: str, mode: str, partitions: list[str]) -> int:
+    """Write and count."""
+    return _save_observed(df, path, mode, partitions, {"rows": F.count(F.lit(1))})["rows"]
 
 
 def new_load_name() -> str:
@@ -83,13 +94,14 @@ def new_load_name() -> str:
 
 def stage_load(df: DataFrame, path: str, name: str) -> int:
     """Write rows as one load that does not count yet; returns the rows written."""
+    loads.begin(df.sparkSession, path)
     return _save(df, loads.folder(path, name), "overwrite", PARTITIONS)
 
 
-def _add_load(df: DataFrame, path: str, name: str, source: str, replaces=(), schema=None, note=None) -> int:
+def _add_load(df: DataFrame, path: str, name: str, source: str, replaces=()) -> int:
     """Write rows as one load and make it count."""
     written = stage_load(df, path, name)
-    loads.publish(df.sparkSession, path, name, source, replaces, schema, note)
+    loads.publish(df.sparkSession, path, name, source, replaces)
     return written
 
 
@@ -132,11 +144,24 @@ def write_captures(
 
 
 def add_rows(
-    df: DataFrame, path: str, sort: list[str], source: str, replaces=(), schema=None, note: str | None = None
-) -> int:
+    df: DataFrame,
+    path: str,
+    sort: list[str],
+    source: str,
+    metrics: dict[str, Column],
+    replaces=(),
+    schema=None,
+    note: str | None = None,
+) -> dict:
     """Add rows that carry their year and domain to a table as one load; ``schema`` and
-    ``note`` become the table's in the same step."""
-    return _add_load(_laid_out(df, PARTITIONS, sort), path, new_load_name(), source, replaces, schema, note)
+    ``note`` become the table's in the same step. Returns the aggregates ``metrics``."""
+    name = new_load_name()
+    loads.begin(df.sparkSession, path)
+    written = _save_observed(
+        _laid_out(df, PARTITIONS, sort), loads.folder(path, name), "overwrite", PARTITIONS, metrics
+    )
+    loads.publish(df.sparkSession, path, name, source, replaces, schema, note)
+    return written
 
 
 def add_captures(
@@ -251,13 +276,29 @@ def convert_cdxj(lines: DataFrame, path: str, mode: str = "errorifexists") -> in
 
 
 def split_by_domain(
-    df: DataFrame, path: str, domains=TARGET_DOMAINS, surtkey: str = "surtkey", mode: str = "errorifexists"
+    df: DataFrame,
+    path: str,
+    domains=TARGET_DOMAINS,
+    surtkey: str = "surtkey",
+    mode: str = "errorifexists",
+    rows_per_file: int | None = None,
 ) -> int:
-    """One partition folder per target domain, written in a single pass."""
+    """One partition folder per target domain, written in a single pass.
+
+    With ``rows_per_file`` the files of a domain hold ranges of keys that do not overlap,
+    cut at sampled keys so that each has about that many rows: a filter on a host or path
+    prefix then opens the files of its range only. Within a key larger than a file the
+    ranges go on by time and offset.
+    """
     labelled = df.withColumn("base_domain", dom.surt_domain(surtkey, domains)).where(
         F.col("base_domain").isNotNull()
     )
-    return write(labelled, path, mode, ["base_domain"], [surtkey])
+    if rows_per_file is None:
+        return write(labelled, path, mode, ["base_domain"], [surtkey])
+    order = ["base_domain", surtkey, *[c for c in ("fetch_timestamp", "offset") if c in df.columns]]
+    ranges = max(1, math.ceil(labelled.count() / rows_per_file))
+    laid_out = labelled.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
+    return _save(laid_out, path, mode, ["base_domain"])
 
 
 def read_domain(spark: SparkSession, path: str, domain: str) -> DataFrame:
@@ -358,6 +399,42 @@ def propagate_dns(
     return write(fresh.select(*target.columns), path, "append", [], [])
 
 
+def propagate_dns_all(source: DataFrame, root: str, domains=TARGET_DOMAINS) -> dict[str, int]:
+    """Copy the DNS rows that the tables of a split (``base_domain=…`` below ``root``) lack
+    from the full table: one scan of it and one append for all domains.
+
+    Returns the rows added to each domain. Every target's columns are checked before
+    anything is written; domains without a table are named in a warning. A second run
+    adds nothing, and one that died half way is completed by the next.
+    """
+    spark = source.sparkSession
+    present = [d for d in domains if exists(spark, f"{root}/base_domain={d}")]
+    if len(present) < len(domains):
+        warnings.warn(f"no table of domain(s) {sorted(set(domains) - set(present))}", stacklevel=2)
+    wide = source.drop("base_domain")
+    problems = []
+    for domain in present:
+        try:
+            check_same_columns(wide, spark.read.parquet(f"{root}/base_domain={domain}"))
+        except SchemaMismatch as mismatch:
+            problems.append(f"{domain}: {mismatch}")
+    if problems:
+        raise SchemaMismatch("; ".join(problems))
+    if not present:
+        return {}
+    label = dom.surt_domain("surtkey", domains)
+    wanted = wide.where(F.col("mime") == DNS).withColumn("base_domain", label)
+    schema = wanted.schema
+    target = spark.read.schema(schema).parquet(root)
+    here = F.col("base_domain").isin(*present)
+    key = ["base_domain", *CAPTURE_KEY]
+    fresh = absent_from(wanted.where(here), target.where(here & (F.col("mime") == DNS)), key)
+    laid_out = _laid_out(fresh, ["base_domain"], ["surtkey"])
+    return _save_observed(
+        laid_out, root, "append", ["base_domain"], {d: F.count_if(F.col("base_domain") == d) for d in present}
+    )
+
+
 def ensure_table(spark: SparkSession, path: str, schema=None) -> None:
     """Create an empty table folder; appending nothing leaves an existing one as it is."""
     spark.createDataFrame([], schema or table_schema()).write.mode("append").partitionBy(

@@ -1,11 +1,12 @@
 """Loading, splitting, migrating, backfilling and publishing tables."""
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from surtscope.functions import urls
 from surtscope.sources import cdxj, index, inventory
-from surtscope.plans import structure
+from surtscope.plans import content, structure
 from surtscope.streaming import ingest
 from surtscope.tables import report_table, store
 
@@ -476,3 +477,55 @@ def test_a_refresh_that_dies_changes_nothing(spark, load, archive, monkeypatch):
     assert report_table.read(spark, base).agg(F.sum("capture_count")).first()[0] == n
     assert report_table.refresh(spark, path, base) == ["2024"]
     assert report_table.read(spark, base).agg(F.sum("capture_count")).first()[0] == store.read(spark, path).count()
+
+
+def test_size_histogram_follows_the_captures(spark, load, archive):
+    path, _ = load()
+    sizes = str(archive / "sizes")
+    report_table.refresh(spark, path, sizes, content.size_histogram)
+    load(["2020"], mode="replace")
+    store.append(store.read(spark, path).where("base_domain = 'ed.gov'"), path)
+    assert report_table.refresh(spark, path, sizes, content.size_histogram) == ["2020", "2024"]
+    stored = report_table.read(spark, sizes, content.size_histogram)
+    assert shown(content.size_statistics(stored, TARGETS)) == shown(content.size_statistics(store.read(spark, path), TARGETS))
+    plan = content.size_histogram(store.read(spark, path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan") == 1
+
+
+def test_dns_goes_to_all_domains_at_once(spark, load, archive):
+    path, _ = load()
+    full = store.read(spark, path).drop("base_domain")
+    root = str(archive / "domains")
+    page = full.where("mime = 'text/dns'").withColumn("mime", F.lit("text/html"))
+    full = full.union(page)
+    store.split_by_domain(full.where("mime <> 'text/dns' or mime is null"), root, TARGETS)
+    with pytest.warns(UserWarning, match="va.gov"):
+        assert store.propagate_dns_all(full, root, [*TARGETS, "va.gov"]) == {"doi.gov": 0, "ed.gov": 1}
+    assert store.propagate_dns_all(full, root, TARGETS) == {"doi.gov": 0, "ed.gov": 0}
+    assert store.read_domain(spark, root, "ed.gov").where("mime = 'text/dns'").count() == 1
+    assert spark.read.parquet(root).count() == full.count()
+    with pytest.raises(store.SchemaMismatch, match="doi.gov.*ed.gov"):
+        store.propagate_dns_all(full.withColumn("extra", F.lit(1)), root, TARGETS)
+    assert spark.read.parquet(root).count() == full.count()
+
+
+def test_key_ranges_let_a_host_filter_skip_files(spark, rows, tmp_path):
+    """Ranges of keys do not overlap, and a host lies in few files, as the footers show."""
+    keys = [f"gov,doi,h{k % 40:02d})/p{k:04d}" for k in range(4000)] + ["gov,ed)/hot"] * 1500
+    df = rows("surtkey string, fetch_timestamp string, offset long", *[(k, f"{i:06d}", i) for i, k in enumerate(keys)])
+    out = str(tmp_path / "ranges")
+    assert store.split_by_domain(df.repartition(5), out, TARGETS, rows_per_file=500) == len(keys)
+    spans = []
+    for file in (tmp_path / "ranges").rglob("*.parquet"):
+        meta = pq.ParquetFile(file).metadata
+        column = [meta.schema.column(i).name for i in range(meta.num_columns)].index("surtkey")
+        stats = [meta.row_group(g).column(column).statistics for g in range(meta.num_row_groups)]
+        spans.append((min(x.min for x in stats), max(x.max for x in stats), file.parent.name, meta.num_rows))
+    spans.sort()
+    assert len(spans) >= 9 and max(n for *_, n in spans) < 1500
+    assert all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
+    host = "gov,doi,h07)"
+    assert sum(low[: len(host)] <= host <= high[: len(host)] for low, high, folder, _ in spans if "doi" in folder) <= 2
+    hit = store.read_domain(spark, out, "doi.gov").where(F.col("surtkey").startswith(host))
+    assert hit.count() == 100 and hit.select(F.input_file_name()).distinct().count() <= 2
+    assert "StringStartsWith(surtkey,gov,doi,h07))" in hit._jdf.queryExecution().executedPlan().toString()
