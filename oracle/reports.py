@@ -501,6 +501,9 @@ UNION ALL SELECT base_domain, 'Only in 2024', count(*) FILTER (WHERE b AND NOT a
             )
             for d in range(1, 6)
         },
+        "snk_structure_summary": w(f"SELECT {_BD}, count(*) AS captures, count(DISTINCT crawl_year) AS years, min(crawl_year) AS first_year, max(crawl_year) AS last_year FROM c GROUP BY 1"),
+        "snk_structure_unique_subdomains": w(f"SELECT {_BD}, count(DISTINCT {_SUB}) AS n FROM c GROUP BY 1"),
+        "snk_structure_unique_pdf_names": w(f"SELECT {_BD}, count(DISTINCT {_PDF}) AS unique_names FROM c WHERE {_EXT} = 'pdf' GROUP BY 1"),
         "snk_structure_captures_per_year": _per_domain("crawl_year, count(*) AS captures"),
         "snk_structure_host_years": _per_domain("host, crawl_year, count(*) AS n"),
         "snk_structure_pdf_per_year": _per_domain("crawl_year, count(*) AS n", f"{_EXT} = 'pdf'"),

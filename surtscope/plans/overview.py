@@ -159,9 +159,10 @@ def subdomain_breakdown(
     return roll.top_k(wide, limit, order, within)
 
 
-def unique_subdomains(captures: DataFrame, level: str = "top") -> DataFrame:
+def unique_subdomains(captures: DataFrame, level: str = "top", within=None) -> DataFrame:
     label = subdomain_label(captures, level)
-    return captures.where(F.col("surtkey").isNotNull()).agg(F.count_distinct(label).alias("n"))
+    rows = captures.where(F.col("surtkey").isNotNull())
+    return rows.groupBy(*(within or [])).agg(F.count_distinct(label).alias("n"))
 
 
 def domain_ranking(captures: DataFrame, domains=TARGET_DOMAINS) -> DataFrame:

@@ -14,7 +14,7 @@ from surtscope.config import CRAWL_YEARS, SURT_PATH_DEPTH
 from surtscope.functions import urls
 from surtscope.functions.measures import WEIGHT, rows_of, rows_where, share_pct
 from surtscope.operators import rollups as roll
-from surtscope.plans.overview import subdomain_breakdown, subdomain_label
+from surtscope.plans.overview import subdomain_breakdown, subdomain_label, unique_subdomains
 
 ROOT, NONE = "(root)", "(none)"
 
@@ -261,6 +261,16 @@ def unique_pdf_names(captures: DataFrame, within=None) -> DataFrame:
     )
 
 
+def summary(captures: DataFrame, within=None) -> DataFrame:
+    """Captures and crawl years, what a report of one domain opens with."""
+    return captures.groupBy(*(within or [])).agg(
+        rows_of(captures).alias("captures"),
+        F.count_distinct("crawl_year").alias("years"),
+        F.min("crawl_year").alias("first_year"),
+        F.max("crawl_year").alias("last_year"),
+    )
+
+
 def node_ids(captures: DataFrame, within=None) -> DataFrame:
     """Numeric ids under ``/node/`` per year.
 
@@ -321,6 +331,9 @@ def report_base(captures: DataFrame, within: list[str]) -> DataFrame:
 
 # name -> (reads the compact base or the captures, report)
 _REPORT = {
+    "summary": ("base", lambda d, y, w, k: summary(d, w)),
+    "unique_subdomains": ("base", lambda d, y, w, k: unique_subdomains(d, within=w)),
+    "unique_pdf_names": ("captures", lambda d, y, w, k: unique_pdf_names(d, w)),
     "captures_per_year": ("base", lambda d, y, w, k: roll.count_by(d, [*w, "crawl_year"], "captures")),
     "host_years": ("captures", lambda d, y, w, k: roll.count_by(d, [*w, "host", "crawl_year"])),
     "subdomains": ("base", lambda d, y, w, k: subdomain_breakdown(d, y, k, within=w)),
