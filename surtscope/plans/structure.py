@@ -112,63 +112,63 @@ def path_heat(captures: DataFrame, k: int = 15, years=CRAWL_YEARS, within=None)
     )
 
 
-def _presence(captures: DataFrame, years: list[str], within: list[str]) -> DataFrame:
-    """One row per first segment with a flag per year."""
-    return (
-        _seg1(captures)
-        .groupBy(*within, "seg1")
-        .agg(*[F.coalesce(F.bool_or(F.col("crawl_year") == y), F.lit(False)).alias(y) for y in years])
-    )
+def _years_of_segments(captures: DataFrame, within: list[str]) -> DataFrame:
+    """One row per first segment with the array of years it was captured in."""
+    return _seg1(captures).groupBy(*within, "seg1").agg(F.collect_set("crawl_year").alias("_years"))
 
 
 def path_churn(captures: DataFrame, years=None, within=None) -> DataFrame:
     """First segments in only one, or in both, of the two latest years that a group has.
 
-    ``years`` limits the choice, for one pair or more; without it all years of the
-    captures count. A group of one year has no pair and no rows.
+    ``years`` limits the choice; without it all years of the captures count. A group of
+    one year has no pair and no rows. The pair is found in the query itself: no job runs
+    beforehand, and the plan does not grow with the number of years.
     """
     within = within or []
-    years = sorted(years or roll.years_in(captures))
-    pairs = []
-    for j, b in enumerate(years):
-        for a in years[:j]:
-            in_a, in_b = F.col(a), F.col(b)
-            pairs.append(
-                F.when(
-                    F.bool_or(in_a) & F.bool_or(in_b),
-                    F.array(
-                        F.struct(F.lit(f"Only in {a}").alias("category"), F.count_if(in_a & ~in_b).alias("count")),
-                        F.struct(F.lit("In both").alias("category"), F.count_if(in_a & in_b).alias("count")),
-                        F.struct(F.lit(f"Only in {b}").alias("category"), F.count_if(~in_a & in_b).alias("count")),
-                    ),
-                )
-            )
-    if not pairs:
-        empty = captures.select(*within, F.lit("").alias("category"), F.lit(0).cast("long").alias("count"))
-        return empty.where(F.lit(False))
-    latest = F.coalesce(*reversed(pairs))
-    counted = _presence(captures, years, within).groupBy(*within).agg(latest.alias("latest"))
+    rows = captures.where(F.col("crawl_year").isin(*years)) if years else captures
+    segments = _years_of_segments(rows, within)
+    newest = F.slice(F.sort_array(F.collect_set("crawl_year"), asc=False), 1, 2)
+    if within:
+        pairs = rows.groupBy(*within).agg(newest.alias("_pair"))
+        same = [F.col(f"s.`{c}`").eqNullSafe(F.col(f"p.`{c}`")) for c in within]
+        paired = segments.alias("s").join(pairs.alias("p"), same).select("s.*", "p._pair")
+    else:
+        paired = segments.withColumn("_pair", rows.agg(newest).scalar())
+    paired = paired.where(F.size("_pair") == 2).withColumns(
+        {"_a": F.get("_pair", F.lit(1)), "_b": F.get("_pair", F.lit(0))}
+    )
+    in_a, in_b = F.array_contains("_years", F.col("_a")), F.array_contains("_years", F.col("_b"))
+    categories = F.array(
+        F.struct(F.concat(F.lit("Only in "), "_a").alias("category"), F.count_if(in_a & ~in_b).alias("count")),
+        F.struct(F.lit("In both").alias("category"), F.count_if(in_a & in_b).alias("count")),
+        F.struct(F.concat(F.lit("Only in "), "_b").alias("category"), F.count_if(~in_a & in_b).alias("count")),
+    )
+    counted = paired.groupBy(*within, "_a", "_b").agg(categories.alias("latest"))
     return counted.select(*within, F.inline("latest"))
 
 
 def path_churn_all_periods(captures: DataFrame, years=None, within=None) -> DataFrame:
     """The same for every pair of adjacent years (of the captures, if none are given)."""
     within = within or []
-    ordered = sorted(years or roll.years_in(captures))
-    pairs = list(zip(ordered, ordered[1:]))
-    aggs = []
-    for a, b in pairs:
-        in_a, in_b = F.col(a), F.col(b)
-        aggs.append(
-            F.struct(
-                F.lit(f"{a}→{b}").alias("period"),
-                F.count_if(in_a & ~in_b).alias("Disappeared"),
-                F.count_if(in_a & in_b).alias("Persisted"),
-                F.count_if(~in_a & in_b).alias("New"),
-            )
-        )
-    counted = _presence(captures, ordered, within).groupBy(*within).agg(F.array(*aggs).alias("periods"))
-    return counted.select(*within, F.inline("periods"))
+    segments = _years_of_segments(captures, within)
+    if years:
+        ordered = F.array(*[F.lit(y) for y in sorted(years)])
+    else:
+        ordered = captures.agg(F.sort_array(F.collect_set("crawl_year"))).scalar()
+    steps = segments.withColumn("_ordered", ordered)
+    place = F.explode(F.when(F.size("_ordered") > 1, F.sequence(F.lit(1), F.size("_ordered") - 1)))
+    steps = steps.select(*within, "_years", "_ordered", place.alias("_k")).withColumns(
+        {"_a": F.get("_ordered", F.col("_k") - 1), "_b": F.get("_ordered", F.col("_k"))}
+    )
+    in_a, in_b = F.array_contains("_years", F.col("_a")), F.array_contains("_years", F.col("_b"))
+    counted = steps.groupBy(*within, "_a", "_b").agg(
+        F.count_if(in_a & ~in_b).alias("Disappeared"),
+        F.count_if(in_a & in_b).alias("Persisted"),
+        F.count_if(~in_a & in_b).alias("New"),
+    )
+    return counted.select(
+        *within, F.concat("_a", F.lit("→"), "_b").alias("period"), "Disappeared", "Persisted", "New"
+    )
 
 
 def extension_totals(captures: DataFrame, k: int = 10, within=None) -> DataFrame:
