@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Bytes up to which a piece is merged directly.
-LEAF_BYTES = 8
+LEAF_BYTES = 16
 #: Tokens on each side of a seam that the first window re-encodes.
 WINDOW = 4
 _MEMO_PIECES = 400_000
+_NO_RANK = 1 << 62
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -58,19 +59,24 @@ class ByteBPE:
         self._agree: dict[tuple[int, int], bool] = {}
 
     def merge(self, data: bytes) -> list[int]:
-        """Merge bytes by rank: lowest first, leftmost first among equals."""
-        ranks = self.ranks
-        parts = [data[k : k + 1] for k in range(len(data))]
-        while len(parts) > 1:
-            best, at = None, -1
-            for k in range(len(parts) - 1):
-                rank = ranks.get(parts[k] + parts[k + 1])
-                if rank is not None and (best is None or rank < best):
-                    best, at = rank, k
-            if best is None:
+        """Merge bytes by rank: lowest first, leftmost first among equals.
+
+        ``near`` holds the rank of each neighbouring pair; a merge renews the two beside it.
+        """
+        rank = self.ranks.get
+        starts = list(range(len(data) + 1))
+        near = [rank(data[k : k + 2], _NO_RANK) for k in range(len(data) - 1)]
+        while near:
+            best = min(near)
+            if best == _NO_RANK:
                 break
-            parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return [ranks[p] for p in parts]
+            k = near.index(best)
+            del starts[k + 1], near[k]
+            if k:
+                near[k - 1] = rank(data[starts[k - 1] : starts[k + 1]], _NO_RANK)
+            if k < len(near):
+                near[k] = rank(data[starts[k] : starts[k + 2]], _NO_RANK)
+        return [self.ranks[data[s:e]] for s, e in zip(starts, starts[1:])]
 
     def agrees(self, left: int, right: int) -> bool:
         """The two tokens are the encoding of their joint bytes."""
@@ -126,7 +132,7 @@ class ByteBPE:
         return b"".join(out)
 
     def decode(self, ids: bytes) -> bytes:
-        """The bytes of a text from its ids, concatenated up a binary tree."""
+        """The bytes of a text from its ids, concatenated up a tree, 256 nodes at a time."""
         level = [self.tokens[t] for t in np.frombuffer(ids, "<u4").tolist()]
         while len(level) > 1:
             level = [b"".join(level[k : k + 256]) for k in range(0, len(level), 256)]
