@@ -152,7 +152,7 @@ def append_unseen(
         batch.write.mode("overwrite").parquet(passed)  # the state store is asked once
         fresh = session.read.schema(batch.schema).parquet(passed)
         foreign = (table or loads.Live()).not_from(source)
-        if table is None or foreign.loads:
+        if table is None or any(load.live_years() for load in foreign.loads):
             known = store.read(session, path) if table is None else loads.read(session, path, store.table_schema(), foreign)
             years = fresh.select("crawl_year").distinct()
             at_hand = known.join(years, known.crawl_year.eqNullSafe(years.crawl_year), "left_semi")
@@ -166,19 +166,18 @@ def append_unseen(
         query = _run(typed.dropDuplicates(key), add, own)
     finally:
         spark.conf.set(_STATE_STORE, before)
-    _note_files(spark, path, staged, _query_id(spark, own))
+    if files.names(spark, staged):
+        _note_files(spark, path, staged, _query_id(spark, f"{checkpoint}/lines"))
     return query
 
 
 def _note_files(spark: SparkSession, path: str, staged: str, source: str) -> None:
-    """Keep the names of staged files once all their rows are in the table, and drop the
-    staged rows. If a run dies before, their keys alone keep rows from coming twice."""
-    batches = sorted(files.names(spark, staged))
-    if not batches:
-        return
-    name = f"files-{source}-{batches[-1].removeprefix('batch=')}"
-    rows = spark.read.schema("file string, crawl_year string, batch long").parquet(staged)
-    loads.write_file_list(rows.select("file", "crawl_year"), path, name)
-    loads.publish(spark, path, name, source)
-    for batch in batches:
+    """Once all rows of staged batches are in the table, list them as loads that have read
+    their files and hold no rows, and drop the staged rows. If a run dies before, the keys
+    alone keep rows from coming twice."""
+    for batch in sorted(files.names(spark, staged)):
+        name = f"stream-{source}-{batch.removeprefix('batch=')}"
+        rows = spark.read.schema("file string, crawl_year string, outcome string").parquet(f"{staged}/{batch}")
+        loads.write_file_list(rows.select("file", "crawl_year"), path, name)
+        loads.publish(spark, path, name, source)
         files.remove(spark, f"{staged}/{batch}")
