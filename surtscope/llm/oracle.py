@@ -67,7 +67,8 @@ FROM scored WHERE score > 0 QUALIFY rank <= 50
 
 def _holds(rule) -> str:
     bounds = [f"{rule.measure} >= {rule.low}"] if rule.low is not None else []
-    return " AND ".join(bounds + ([f"{rule.measure} <= {rule.high}"] if rule.high is not None else []))
+    holds = " AND ".join(bounds + ([f"{rule.measure} <= {rule.high}"] if rule.high is not None else []))
+    return f"({rule.unless[0]} > {rule.unless[1]} OR {holds})" if rule.unless else holds
 
 
 def quality_rules_sql(rules=RULES) -> str:
@@ -101,6 +102,7 @@ WITH d AS (
 ), m AS (
     SELECT doc_id, coalesce(n, 0) AS n_words, coalesce(chars, 0) AS word_chars,
            length(body) - length(regexp_replace(body, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+           length(body) - length(regexp_replace(body, '[^\x{{0}}-\x{{24F}}]', '', 'g')) AS n_other_script,
            coalesce(n_dup, 0) AS n_dup_lines, coalesce(n_repeat, 0) AS n_repeat_words,
            coalesce(n_lines, 0) AS n_lines, coalesce(stops, 0) AS n_stop_words,
            coalesce(n_ellipsis, 0) AS n_ellipsis_lines, coalesce(n_bullet, 0) AS n_bullet_lines
@@ -108,6 +110,7 @@ WITH d AS (
 ), ratios AS (
     SELECT *, {ratio("word_chars", "n_words")} AS mean_word_chars, {ratio("n_symbols", "n_words")} AS symbol_ratio,
            {ratio("n_stop_words", "n_words")} AS stop_word_ratio,
+           {ratio("n_other_script", "word_chars")} AS other_script_ratio,
            {ratio("n_repeat_words", "n_words")} AS repeat_word_ratio, {ratio("n_dup_lines", "n_lines")} AS dup_line_ratio,
            {ratio("n_ellipsis_lines", "n_lines")} AS ellipsis_line_ratio,
            {ratio("n_bullet_lines", "n_lines")} AS bullet_line_ratio

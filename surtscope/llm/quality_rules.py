@@ -32,19 +32,22 @@ STOP_WORDS = (
 
 @dataclass(frozen=True)
 class Rule:
-    """``low <= measure <= high`` must hold; a bound of None is open."""
+    """``low <= measure <= high`` must hold; a bound of None is open. ``unless`` names a
+    measure and a bound; texts beyond it are not asked."""
 
     measure: str
     low: float | None = None
     high: float | None = None
+    unless: tuple[str, float] | None = None
 
 
 #: The default table. Measures are the names that ``measures`` makes.
 RULES = (
-    Rule("n_words", 50, 200_000),
+    Rule("n_words", 50, None),
     Rule("mean_word_chars", 2, 20),
     Rule("symbol_ratio", None, 0.25),
-    Rule("stop_word_ratio", 0.01, None),
+    # the stop words are of languages in Latin script
+    Rule("stop_word_ratio", 0.01, None, ("other_script_ratio", 0.5)),
     Rule("repeat_word_ratio", None, 0.5),
     Rule("dup_line_ratio", None, 0.6),
     Rule("ellipsis_line_ratio", None, 0.5),
@@ -118,6 +121,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         F.coalesce(_repeat_words(F.col(f"{_WORK}_sorted")), F.lit(0)).cast("long").alias("n_repeat_words"),
         n_lines.alias("n_lines"),
         stop.cast("long").alias("n_stop_words"),
+        F.regexp_count(field("body"), F.lit(r"[^\x00-\u024F]")).cast("long").alias("n_other_script"),
         F.size(F.filter(lines, lambda x: x.rlike(rf"(\.\.\.|…)[{SPACE_CLASS}]*$"))).cast("long").alias("n_ellipsis_lines"),
         F.size(F.filter(lines, lambda x: x.rlike(rf"^[{SPACE_CLASS}]*[-*•]"))).cast("long").alias("n_bullet_lines"),
     )
@@ -128,6 +132,7 @@ def measures(df: DataFrame, text: str = "text") -> DataFrame:
         _ratio(m("word_chars"), m("n_words")).alias("mean_word_chars"),
         _ratio(m("n_symbols"), m("n_words")).alias("symbol_ratio"),
         _ratio(m("n_stop_words"), m("n_words")).alias("stop_word_ratio"),
+        _ratio(m("n_other_script"), m("word_chars")).alias("other_script_ratio"),
         _ratio(m("n_repeat_words"), m("n_words")).alias("repeat_word_ratio"),
         _ratio(m("n_dup_lines"), m("n_lines")).alias("dup_line_ratio"),
         _ratio(m("n_ellipsis_lines"), m("n_lines")).alias("ellipsis_line_ratio"),
@@ -141,11 +146,14 @@ def compile_rules(rules: tuple[Rule, ...], measure) -> Column:
     """One boolean column: every rule of the table holds."""
     verdict = F.lit(True)
     for rule in rules:
-        value = measure(rule.measure)
+        value, holds = measure(rule.measure), F.lit(True)
         if rule.low is not None:
-            verdict = verdict & (value >= F.lit(rule.low))
+            holds = holds & (value >= F.lit(rule.low))
         if rule.high is not None:
-            verdict = verdict & (value <= F.lit(rule.high))
+            holds = holds & (value <= F.lit(rule.high))
+        if rule.unless is not None:
+            holds = holds | (measure(rule.unless[0]) > F.lit(rule.unless[1]))
+        verdict = verdict & holds
     return verdict
 
 

@@ -80,6 +80,16 @@ def test_quality_rules(spark, odd, which):
     assert not any(r.kept and r.base_failed for r in out)
 
 
+def test_quality_rules_keep_long_texts_and_other_scripts(spark, rows):
+    def text(words, n):
+        return " ".join(f"{words[k % len(words)]}{k}" if k % 3 else words[k * 31 % len(words)] for k in range(n))
+
+    latin, russian = ["the", "house", "garden", "of", "stone"], ["дом", "сад", "улица", "книга", "вечер"]
+    df = rows("doc_id long, text string", (1, text(latin, 196_000)), (2, text(latin, 240_000)), (3, text(russian, 600)), (4, text(latin[1:3], 600)))
+    found = {r.doc_id: (r.base_failed, r.kept) for r in quality_rules.quality_report(df).collect()}
+    assert found == {1: (False, True), 2: (False, True), 3: (False, True), 4: (False, False)}
+
+
 def test_quality_rules_keep_clean_text_and_stay_native(spark):
     df = documents(spark).join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id")
     report = quality_rules.quality_report(df.where("quality = 1"))
