@@ -166,7 +166,7 @@ def path_churn_all_periods(captures: DataFrame, years=None, within=None) -> Data
         F.count_if(in_a & in_b).alias("Persisted"),
         F.count_if(~in_a & in_b).alias("New"),
     )
-    return counted.select(
+    return counted.orderBy(*within, "_a").select(
         *within, F.concat("_a", F.lit("→"), "_b").alias("period"), "Disappeared", "Persisted", "New"
     )
 
