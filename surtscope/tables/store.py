@@ -30,6 +30,8 @@ from surtscope.tables.files import exists, mark, remove  # noqa: F401
 PARTITIONS = ["crawl_year", "base_domain"]
 #: A capture is its place in an archive file; two records of one moment stay apart.
 CAPTURE_KEY = ["surtkey", "fetch_timestamp", "url", "warc_filename", "offset"]
+#: Up to so many files of a split are a task each; beyond, a task cuts several or this many rows.
+_SPLIT_TASKS, _ROWS_PER_TASK = 200, 1_000_000
 
 
 def table_schema():
@@ -68,8 +70,11 @@ def _laid_out(df: DataFrame, partitions: list[str], sort: list[str]) -> DataFram
     return df.hint("rebalance", *partitions).sortWithinPartitions(*partitions, *sort)
 
 
-def _save_observed(df: DataFrame, path: str, mode: str, partitions: list[str], metrics: dict[str, Column]) -> dict:
-    """Write, and return the aggregates of what was written without a second scan.
+def _save_observed(
+    df: DataFrame, path: str, mode: str, partitions: list[str], metrics: dict[str, Column], rows_per_file: int = 0
+) -> dict:
+    """Write, and return the aggregates of what was written without a second scan. A task
+    begins a new file after ``rows_per_file`` rows, if given.
 
     They are taken from the rows as they reach the writer: below a shuffle, adaptive
     execution may drop them together with a stage that turned out empty.
@@ -77,15 +82,17 @@ def _save_observed(df: DataFrame, path: str, mode: str, partitions: list[str], m
     seen = Observation()
     named = [c.alias(name) for name, c in metrics.items()]
     writer = df.observe(seen, *named).write.mode(mode).option("compression", "zstd")
+    if rows_per_file:
+        writer = writer.option("maxRecordsPerFile", rows_per_file)
     if partitions:
         writer = writer.partitionBy(*partitions)
     writer.parquet(path)
     return seen.get
 
 
-def _save(df: DataFrame, path: str, mode: str, partitions: list[str]) -> int:
+def _save(df: DataFrame, path: str, mode: str, partitions: list[str], rows_per_file: int = 0) -> int:
     """Write and count."""
-    return _save_observed(df, path, mode, partitions, {"rows": F.count(F.lit(1))})["rows"]
+    return _save_observed(df, path, mode, partitions, {"rows": F.count(F.lit(1))}, rows_per_file)["rows"]
 
 
 def new_load_name() -> str:
@@ -285,10 +292,11 @@ def split_by_domain(
 ) -> int:
     """One partition folder per target domain, written in a single pass.
 
-    With ``rows_per_file`` the files of a domain hold ranges of keys that do not overlap,
-    cut at sampled keys so that each has about that many rows: a filter on a host or path
-    prefix then opens the files of its range only. Within a key larger than a file the
-    ranges go on by time and offset.
+    With ``rows_per_file`` the files of a domain hold ranges of keys that do not overlap
+    and have about that many rows each: a filter on a host or path prefix then opens the
+    files of its range only. Within a key larger than a file the ranges go on by time and
+    offset. Few files are cut at sampled keys; of many, the sample would be as large as the
+    table, so each task gets a longer range and cuts its sorted rows into files.
     """
     labelled = df.withColumn("base_domain", dom.surt_domain(surtkey, domains)).where(
         F.col("base_domain").isNotNull()
@@ -296,9 +304,12 @@ def split_by_domain(
     if rows_per_file is None:
         return write(labelled, path, mode, ["base_domain"], [surtkey])
     order = ["base_domain", surtkey, *[c for c in ("fetch_timestamp", "offset") if c in df.columns]]
-    ranges = max(1, math.ceil(labelled.count() / rows_per_file))
+    rows = labelled.count()
+    ranges = wanted = max(1, math.ceil(rows / rows_per_file))
+    if wanted > _SPLIT_TASKS:
+        ranges = min(wanted, max(min(wanted // 8, _SPLIT_TASKS), math.ceil(rows / _ROWS_PER_TASK)))
     laid_out = labelled.repartitionByRange(ranges, *order).sortWithinPartitions(*order)
-    return _save(laid_out, path, mode, ["base_domain"])
+    return _save(laid_out, path, mode, ["base_domain"], rows_per_file if ranges < wanted else 0)
 
 
 def read_domain(spark: SparkSession, path: str, domain: str) -> DataFrame:

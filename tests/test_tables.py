@@ -1,5 +1,7 @@
 """Loading, splitting, migrating, backfilling and publishing tables."""
 
+import re
+
 import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
@@ -529,3 +531,15 @@ def test_key_ranges_let_a_host_filter_skip_files(spark, rows, tmp_path):
     hit = store.read_domain(spark, out, "doi.gov").where(F.col("surtkey").startswith(host))
     assert hit.count() == 100 and hit.select(F.input_file_name()).distinct().count() <= 2
     assert "StringStartsWith(surtkey,gov,doi,h07))" in hit._jdf.queryExecution().executedPlan().toString()
+
+
+def test_split_into_many_files_takes_few_tasks(spark, rows, tmp_path):
+    keys = [f"gov,doi,h{k % 40:02d})/p{k:04d}" for k in range(2400)] + ["gov,ed)/hot"] * 100
+    df = rows("surtkey string, fetch_timestamp string, offset long", *[(k, f"{i:06d}", i) for i, k in enumerate(keys)])
+    out = tmp_path / "many"
+    assert store.split_by_domain(df.repartition(5), str(out), TARGETS, rows_per_file=10) == len(keys)
+    files = [(f, pq.read_table(f)["surtkey"].to_pylist()) for f in out.rglob("*.parquet")]
+    assert len(files) >= 250 and max(len(k) for _, k in files) <= 10
+    assert len({re.match(r"part-(\d+)", f.name)[1] for f, _ in files}) <= 40
+    spans = sorted((min(k), max(k)) for _, k in files)
+    assert sum(len(k) for _, k in files) == len(keys) and all(a[1] <= b[0] for a, b in zip(spans, spans[1:]))
