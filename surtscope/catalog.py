@@ -90,9 +90,7 @@ class Archive:
         """Gzip capture files, one per crawl year and shard, with broken lines in between."""
 
         def make(path: str) -> None:
-            raw = store.materialise(self.raw(), session.run_folder(self.spark, "raw"))
-            lines = derived.capture_lines(raw).unionByName(derived.broken_lines(raw))
-            named = lines.withColumn("crawl", F.concat(F.lit("CRAWL-"), "crawl_year"))
+            named = derived.archive_lines(self.raw()).withColumn("crawl", F.concat(F.lit("CRAWL-"), "crawl_year"))
             placed = named.repartition("crawl", "shard").sortWithinPartitions(
                 "crawl", "shard", "event_id", "part"
             )

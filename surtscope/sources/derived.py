@@ -9,7 +9,7 @@ be written as CDXJ text or loaded like one.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from surtscope.functions import urls
@@ -134,25 +134,17 @@ def raw_captures(events: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
-def capture_lines(raw: DataFrame) -> DataFrame:
-    """CDXJ lines of raw captures: ``crawl_year, shard, event_id, part, value``."""
+def _capture_line() -> Column:
     fields = F.to_json(F.struct(*[F.col(f"`{k}`") for k in cdxj.JSON_KEYS]))
-    return raw.select(
-        "crawl_year",
-        "shard",
-        "event_id",
-        F.lit(0).alias("part"),
-        F.concat_ws(" ", "surtkey", "timestamp", fields).alias("value"),
-    )
+    return F.concat_ws(" ", "surtkey", "timestamp", fields)
 
 
-def broken_lines(raw: DataFrame) -> DataFrame:
-    """One malformed line after each redirect, in six kinds."""
-    base = raw.where(F.col("status") == "301")
+def _broken_line() -> Column:
+    """A malformed line of one of six kinds."""
     head = F.concat_ws(" ", "surtkey", "timestamp")
     small = F.concat(F.lit('{"url":"'), "url", F.lit('"'))
     kind = F.col("event_id") % 6
-    value = (
+    return (
         F.when(kind == 0, F.col("surtkey"))
         .when(kind == 1, F.concat_ws(" ", head, F.concat(small, F.lit(","))))
         .when(kind == 2, F.concat_ws(" ", head, F.concat(small, F.lit("} trailing"))))
@@ -160,7 +152,15 @@ def broken_lines(raw: DataFrame) -> DataFrame:
         .when(kind == 4, F.concat_ws(" ", head, F.concat(small, F.lit(',"status":"-"}'))))
         .otherwise(F.lit(""))
     )
-    return base.select("crawl_year", "shard", "event_id", F.lit(1).alias("part"), value.alias("value"))
+
+
+def archive_lines(raw: DataFrame) -> DataFrame:
+    """CDXJ lines of raw captures, a malformed line after each redirect, in one pass:
+    ``crawl_year, shard, event_id, part, value``."""
+    line = F.struct(F.lit(0).alias("part"), _capture_line().alias("value"))
+    broken = F.struct(F.lit(1).alias("part"), _broken_line().alias("value"))
+    both = F.array_compact(F.array(line, F.when(F.col("status") == "301", broken)))
+    return raw.select("crawl_year", "shard", "event_id", F.inline(both))
 
 
 def index_rows(captures: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import json
 import pytest
 
 from surtscope.config import resolve_years
-from surtscope.sources import cdxj
+from surtscope.sources import cdxj, derived
 
 GOOD = 'gov,doi,data)/api/x?f=json 20240105120000 ' + json.dumps(
     {
@@ -149,3 +149,20 @@ def test_year_argument():
 def test_year_from_path(lines):
     df = lines([GOOD])
     assert df.select(cdxj.year_from_path()).first()[0] == "2024"
+
+
+def test_archive_lines_break_one_line_after_each_redirect(rows, collect):
+    schema = "event_id long, crawl_year string, shard long, timestamp string, " + ", ".join(
+        f"`{c}` string" for c in [*cdxj.JSON_KEYS, "surtkey"]
+    )
+    nulls = dict.fromkeys(cdxj.JSON_KEYS)
+    made = [
+        (e, "2020", 0, "20200101000000", *{**nulls, "url": "u", "status": s}.values(), "k")
+        for e, s in ((0, "301"), (1, "200"), (2, None), (5, "301"))
+    ]
+    head = 'k 20200101000000 {"url":"u"'
+    found = collect(derived.archive_lines(rows(schema, *made)), "event_id", "part", "value")
+    assert found == [
+        (0, 0, head + ',"status":"301"}'), (0, 1, "k"), (1, 0, head + ',"status":"200"}'),
+        (2, 0, head + "}"), (5, 0, head + ',"status":"301"}'), (5, 1, ""),
+    ]
